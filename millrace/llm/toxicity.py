@@ -79,7 +79,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def fit(texts: list[str | None], labels: list[int], bits: int = 18, alpha: float = 1.0, l2: float = 1.0, steps: int = 60) -> ToxicityModel:
+def fit(texts: list[str | None], labels: list[int], bits: int = 18, alpha: float = 1.0, l2: float = 1.0, steps: int = 150) -> ToxicityModel:
     """Fit on texts in memory. With no rows, or one class only, every score is the smoothed rate of label 1."""
     y = np.asarray(labels, np.float64)
     rate = (y.sum() + 1) / (len(y) + 2)
@@ -87,18 +87,24 @@ def fit(texts: list[str | None], labels: list[int], bits: int = 18, alpha: float
     if len(set(labels)) < 2:
         return ToxicityModel(np.zeros(1 << bits, np.float32), prior, bits)
     distinct = _Distinct(bits)
-    rows = [distinct(np.frombuffer((t or "").encode(), np.uint8)).astype(np.int32) for t in texts]
-    sizes = np.array([len(r) for r in rows])
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    del rows
-    hits = [np.bincount(flat[y[row] == c], minlength=1 << bits) for c in (0, 1)]
+    sizes = np.zeros(len(y), np.int64)
+    hits = np.zeros((2, 1 << bits), np.int32)
+    rows = []
+    for i, t in enumerate(texts):
+        own = distinct(np.frombuffer((t or "").encode(), np.uint8)).astype(np.int32)
+        sizes[i] = len(own)
+        hits[int(y[i]), own] += 1
+        rows.append(own)
     rates = [(h + alpha) / ((y == c).sum() + 2 * alpha) for c, h in enumerate(hits)]
     ratio = np.log(rates[1] / rates[0])
-    ratio[(hits[0] + hits[1]) < 3] = 0
+    # Rare and neutral features count as ratio 0, and so leave every product.
+    ratio[(hits.sum(0) < 3) | (np.abs(ratio) < 0.5)] = 0
+    for i, own in enumerate(rows):
+        rows[i] = own[ratio[own] != 0]
     norm = 1 / np.sqrt(np.maximum(sizes, 1))
-    # Rare and neutral features carry no ratio; leaving them out changes no product.
-    keep = np.abs(ratio[flat]) > 0.3
-    flat, row = flat[keep], row[keep]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    del rows
     value = (ratio[flat] * norm[row]).astype(np.float32)
     balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     w, b, mw, vw, mb, vb = np.zeros(1 << bits), 0.0, np.zeros(1 << bits), np.zeros(1 << bits), 0.0, 0.0
@@ -111,10 +117,10 @@ def fit(texts: list[str | None], labels: list[int], bits: int = 18, alpha: float
         fix = (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
         w -= 0.1 * fix * mw / (np.sqrt(vw) + 1e-9)
         b -= 0.1 * fix * mb / (vb**0.5 + 1e-9)
-    return ToxicityModel((w * np.where(np.abs(ratio) > 0.3, ratio, 0)).astype(np.float32), float(b), bits)
+    return ToxicityModel((w * ratio).astype(np.float32), float(b), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: int | None = None, max_rows: int = 6000, max_bytes: int = 24_000_000, max_text: int = 400_000, bits: int = 18) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", holdout: int | None = None, max_rows: int = 4000, max_bytes: int = 12_000_000, max_text: int = 400_000, bits: int = 18) -> ToxicityModel:
     """Fit on at most ``max_rows`` rows and ``max_bytes`` bytes of the labelled rows of ``docs``.
 
     Rows are taken in the order of a hash of their id. ``holdout`` leaves out ids whose crc32 is
