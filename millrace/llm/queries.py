@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op2_byte_bpe
+from .sharding import SHARDING_SQL, op5_sharding
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_sharding": op5_sharding,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_sharding": SHARDING_SQL,
+}
