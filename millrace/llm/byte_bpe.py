@@ -5,6 +5,10 @@ is encoded apart. The library's merge list is made from the ranks: each split of
 tokens is a merge, in the order of the token's rank, which is the order in which adjacent parts
 join when the lowest rank joins first.
 
+Text goes to the library by words with the space before them, and a worker remembers the ids of
+words: splitting before a space between two visible characters never parts a match (this holds for
+patterns of the kind that public byte-level vocabularies use, and offsets are made without it).
+
 Bytes stand for characters inside the library; decoding goes through the reverse table to bytes
 first, so a character whose bytes are split over tokens comes back whole.
 """
@@ -14,8 +18,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +31,12 @@ from pyspark.sql import types as T
 
 #: The library holds about 200 bytes for a token, so texts go to it in groups of this many characters.
 _GROUP = 1 << 18
+#: Ids of this many characters' worth of words are remembered by a worker; beyond it, it starts anew.
+_REMEMBERED = 4_000_000
+#: A space between characters that aren't white space. No match of a pattern that has white space
+#: at a match's start alone, or in matches of nothing else, reaches over the place before it.
+_APART = re.compile(r"(?<=\S) (?=\S)")
+_CLOSE = re.compile(r"\s \S| \s")
 
 
 def byte_characters() -> list[str]:
@@ -59,10 +71,11 @@ class Codec:
         self.at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
         self.known = np.array([bool(t) for t in tokens])
         self.decimal = [str(i) for i in range(len(tokens))]
+        self.seen: dict[str, list[int]] = {}
+        self.seen_size = 0
 
     def encode(self, texts: list[str | None], offsets: bool = False) -> Iterator[tuple[list[int], list[tuple[int, int]] | None]]:
         """Ids of each text, and if asked for the characters [from, to) that each id covers."""
-        run = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
         i = 0
         while i < len(texts):
             group, size = [], 0
@@ -70,8 +83,27 @@ class Codec:
                 group.append(texts[i] or "")
                 size += len(group[-1])
                 i += 1
-            for e in run(group, add_special_tokens=False):
-                yield e.ids, e.offsets if offsets else None
+            if offsets:
+                for e in self.tokenizer.encode_batch(group, add_special_tokens=False):
+                    yield e.ids, e.offsets
+            else:
+                yield from ((ids, None) for ids in self._by_word(group))
+
+    def _by_word(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids by way of the ids of each text's words, each with the space before it."""
+        split = []
+        for t in texts:
+            words = _APART.split(t) if _CLOSE.search(t) or t[:1] == " " else t.split(" ")
+            split.append([words[0], *[" " + w for w in words[1:]]] if t else [])
+        new = list(set(chain.from_iterable(split)).difference(self.seen))
+        if self.seen_size > _REMEMBERED:
+            self.seen, self.seen_size = {}, 0
+            new = list(set(chain.from_iterable(split)))
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.seen[w] = e.ids
+            self.seen_size += len(w)
+        for words in split:
+            yield list(chain.from_iterable(map(self.seen.__getitem__, words)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids. Null or unknown ids raise ValueError."""
