@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
 from .chat_format import CHAT_SQL, op4_chat_format
+from .fingerprints import op9_fingerprints
 from .license_scan import LICENSE_SQL, op7_license_scan
 from .sharding import SHARDING_SQL, op5_sharding
 from .toxicity import op10_toxicity
+from .warc import WARC_SQL, op8_warc
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_sharding": op5_sharding,
     "op7_license_scan": op7_license_scan,
+    "op8_warc": op8_warc,
+    "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -20,4 +24,5 @@ ORACLE_SQL = {
     "op4_chat_format": CHAT_SQL,
     "op5_sharding": SHARDING_SQL,
     "op7_license_scan": LICENSE_SQL,
+    "op8_warc": WARC_SQL,
 }
