@@ -6,11 +6,13 @@ from .byte_bpe import op2_byte_bpe
 from .chat_format import CHAT_SQL, op4_chat_format
 from .fingerprints import op9_fingerprints
 from .license_scan import LICENSE_SQL, op7_license_scan
+from .ngram_join import op1_ngram_jaccard_join
 from .sharding import SHARDING_SQL, op5_sharding
 from .toxicity import op10_toxicity
 from .warc import WARC_SQL, op8_warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_sharding": op5_sharding,
