@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
 from .chat_format import CHAT_SQL, op4_chat_format
+from .decontaminate import op6_decontamination
 from .fingerprints import op9_fingerprints
 from .license_scan import LICENSE_SQL, op7_license_scan
 from .ngram_join import op1_ngram_jaccard_join
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_chat_format": op4_chat_format,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
