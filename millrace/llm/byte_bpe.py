@@ -173,6 +173,26 @@ def decode(df: DataFrame, *, path: str, pattern: str, ids_col: str = "token_ids"
     return _map(df, [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())], ids_col, run)
 
 
+def encode_checked(df: DataFrame, *, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The other columns with ``token_ids``, ``n_tokens`` and ``round_trip``: whether the ids decode to
+    the text's bytes, in place of the text. Null counts as empty."""
+    fields = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    keep = [f for f in df.schema.fields if f.name != text_col and f.name not in {x.name for x in fields}]
+    names = [f.name for f in df.schema.fields]
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for b in it:
+            texts = b.column(names.index(text_col)).to_pylist()
+            ids = [np.array(x, np.int32) for x, _ in c.encode(texts)]
+            same = [c.decode(x.astype(np.int64)) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]
+            sizes = [len(x) for x in ids]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(f.name)) for f in keep), lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], names=[*(f.name for f in keep), *(f.name for f in fields)])
+
+    return df.mapInArrow(batches, T.StructType([*keep, *fields]))
+
+
 def digests(df: DataFrame, *, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """Encode, decode the ids, and return the other columns with ``n_tokens``, ``ids_sha256`` and
     ``decoded_sha256`` in place of the text, in one pass over Arrow batches."""

@@ -303,6 +303,25 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
 
 
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component, one of each; all columns as they are.
+
+    Rows with a null id and rows without links stay. Of repeated ids one row stays, the one with the least text.
+    """
+    key = F.col(id_col).cast("long")
+    found = materialise(jaccard_join(docs, id_col=id_col, text_col=text_col, n=n, num=num, den=den), "join-result")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_mr_id")).distinct()
+    rows = docs.withColumn("_mr_id", key).join(gone, "_mr_id", "left_anti")
+    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("_mr_id"))
+    twice = materialise(twice, "join-twice")
+    if twice.isEmpty():
+        return rows.drop("_mr_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = rows.join(twice, "_mr_id", "left_anti")
+    number = F.row_number().over(Window.partitionBy("_mr_id").orderBy(F.col(text_col)))
+    one = rows.join(twice, "_mr_id", "left_semi").withColumn("_mr_n", number).where("_mr_n = 1").drop("_mr_n")
+    return once.unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100)

@@ -170,6 +170,21 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out_
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, StructType([*(fields[i] for i in kept), StructField(out_col, DoubleType())]))
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, all columns as they are; nothing shuffles."""
+    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        distinct = _Distinct(m.bits)
+        for batch in batches:
+            raw, at = text_bytes(batch.column(names.index(text_col)))
+            yield batch.filter(pa.array([m.score(raw[at[i] : at[i + 1]], distinct) < threshold for i in range(len(at) - 1)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document's score; ids whose crc32 is 0 modulo 5 are never trained on."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
