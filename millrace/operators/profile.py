@@ -91,11 +91,18 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(_rows([F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{n}").alias(n) for n in f]) for c in columns])).select("r.*")
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson's r over the rows where both are there; null where one is constant (corr() would raise)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """``a``, ``b``, ``r`` for each unordered pair, over the rows where both are there; null where one is constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(_rows([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.nanvl(F.col(f"_{i}"), F.lit(None).cast("double")).alias("r")) for i, (a, b) in enumerate(pairs)])).select("r.*")
+    one = df.agg(*[_corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    return one.select(_rows([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).select("r.*")
 
 
 def high_correlations(corr: DataFrame, threshold: float = 0.9, expected: tuple[tuple[str, str], ...] = EXPECTED_PAIRS) -> DataFrame:
@@ -107,8 +114,8 @@ def high_correlations(corr: DataFrame, threshold: float = 0.9, expected: tuple[t
 def target_correlations(df: DataFrame, target: str, columns: list[str], n: int | None = 20) -> DataFrame:
     """Correlation of each column with the target, the ``n`` of the largest size."""
     cols = [c for c in columns if c != target]
-    one = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"_{i}") for i, c in enumerate(cols)])
-    out = one.select(_rows([F.struct(F.lit(c).alias("feature"), F.nanvl(F.col(f"_{i}"), F.lit(None).cast("double")).alias("r")) for i, c in enumerate(cols)])).select("r.*")
+    one = df.agg(*[_corr(c, target).alias(f"_{i}") for i, c in enumerate(cols)])
+    out = one.select(_rows([F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("r")) for i, c in enumerate(cols)])).select("r.*")
     return out.orderBy(F.desc_nulls_last(F.abs("r")), "feature").limit(n) if n else out
 
 
