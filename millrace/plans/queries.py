@@ -14,6 +14,7 @@ from ..operators import panel as pn
 from ..operators import profile as pf
 from ..operators import splits as sp
 from ..sources import files
+from ..sources.scratch import scratch_path
 from .base import AGG, CALENDAR, DIFFS, FOLDS, KEY, LAGS, PANEL, ROLLS, SEASONS, SETTINGS, TX, built, cleaned, round_sql, rounded, transactions, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,15 +43,12 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def csv_union_date(spark, d):
-    """Line items written as one CSV file a year, read back with the fixed schema and a date."""
-    from ..sources.scratch import scratch_path
-
+    """Line items written as CSV by year in one pass, read back with the fixed schema and a date."""
     tx = transactions(spark, d).select(F.lit("firearm").alias("type"), F.lit("x").alias("category"), "subcategory", "sizing", F.date_format("date", "MMMM").alias("month_name"), F.month("date").alias("month_number"), F.year("date").alias("year_"), "tactical", F.col("barrel_length").cast("float").alias("barrel_length"), F.lit("t").alias("trigger_action"), F.col("quantity").cast("int").alias("quantity"), F.col("amount").cast("float").alias("amount"))
     folder = scratch_path(spark, "csv")
+    tx.withColumn("y", F.col("year_")).write.partitionBy("y").csv(folder, header=True)
     years = [r[0] for r in tx.select("year_").distinct().orderBy("year_").collect()]  # one number a year
-    for y in years:
-        tx.where(F.col("year_") == y).write.mode("overwrite").csv(f"{folder}/{y}.csv", header=True)
-    return files.load_raw(spark, folder, years).groupBy("date").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+    return files.load_raw(spark, folder, years, "y={year}").groupBy("date").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
 
 
 # Cleaning and the panel
