@@ -82,6 +82,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", min_bytes: int = 0) -> DataFrame:
     """``page_id``, ``url``, ``html``, ``refers_to``: the largest id of those with an equal payload, else null.
 
+    Null html counts as empty. A null id is never referred to, but its row may be a revisit; repeated
+    rows of the largest id are all responses. Null and malformed URLs stay as they are. Payloads under
+    ``min_bytes`` are all responses. Other columns are not read; an empty table has an empty archive.
+
     Counts move as digests alone. Only digests that occur more than once come back to the pages.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))

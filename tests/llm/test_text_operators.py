@@ -51,11 +51,12 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize(("n", "num", "tile"), [(4, 85, 4096), (5, 80, 3)])
-def test_join_agrees_with_brute_force(spark, monkeypatch, n, num, tile):
+@pytest.mark.parametrize(("n", "num", "tile", "small"), [(4, 85, 4096, 12), (5, 80, 3, 12), (4, 85, 4096, 0)])
+def test_join_agrees_with_brute_force(spark, monkeypatch, n, num, tile, small):
     from millrace.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "EXACT", 4096 if tile > 100 else 200)
     rows = corpus(n)
     got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), n=n, num=num).collect()
