@@ -5,9 +5,9 @@ is encoded apart. The library's merge list is made from the ranks: each split of
 tokens is a merge, in the order of the token's rank, which is the order in which adjacent parts
 join when the lowest rank joins first.
 
-Text goes to the library by words with the space before them, and a worker remembers the ids of
-words: splitting before a space between two visible characters never parts a match (this holds for
-patterns of the kind that public byte-level vocabularies use, and offsets are made without it).
+For the usual pattern, text goes to the library by words with the space before them, and their runs of
+letters and signs, and a worker remembers their ids: splitting before a space between two visible
+characters never parts a match. Offsets, and other patterns, take whole texts.
 
 Bytes stand for characters inside the library; decoding goes through the reverse table to bytes
 first, so a character whose bytes are split over tokens comes back whole.
@@ -32,11 +32,17 @@ from pyspark.sql import types as T
 #: The library holds about 200 bytes for a token, so texts go to it in groups of this many characters.
 _GROUP = 1 << 18
 #: Ids of this many characters' worth of words are remembered by a worker; beyond it, it starts anew.
-_REMEMBERED = 4_000_000
-#: A space between characters that aren't white space. No match of a pattern that has white space
-#: at a match's start alone, or in matches of nothing else, reaches over the place before it.
+_REMEMBERED = 9_000_000
+#: Fixed: the pattern for which words and their parts are known to be matches; for others, texts go whole.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A space between characters that aren't white space: no match reaches over the place before it.
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _CLOSE = re.compile(r"\s \S| \s")
+#: Words of Latin letters, ASCII signs but the apostrophe, and single line feeds between: their matches are
+#: runs of letters, runs of signs, and the line feeds, so that much alone need be known of a new word.
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+_SIMPLE = re.compile(rf" ?(?:[{_LETTERS}]++|[{_SIGNS}]++|(?<=\S)\n(?=\S))++")
+_PART = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n")
 
 
 def byte_characters() -> list[str]:
@@ -71,8 +77,11 @@ class Codec:
         self.at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
         self.known = np.array([bool(t) for t in tokens])
         self.decimal = [str(i) for i in range(len(tokens))]
-        self.seen: dict[str, list[int]] = {}
+        self.ids = list(range(len(tokens)))  # one object for each id, whatever remembers it
+        self.spaced: dict[str, tuple[int, ...]] = {}  # by word, ids of the word with a space before it
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.seen_size = 0
+        self.by_word = pattern == _PATTERN
 
     def encode(self, texts: list[str | None], offsets: bool = False) -> Iterator[tuple[list[int], list[tuple[int, int]] | None]]:
         """Ids of each text, and if asked for the characters [from, to) that each id covers."""
@@ -86,24 +95,36 @@ class Codec:
             if offsets:
                 for e in self.tokenizer.encode_batch(group, add_special_tokens=False):
                     yield e.ids, e.offsets
-            else:
+            elif self.by_word:
                 yield from ((ids, None) for ids in self._by_word(group))
+            else:
+                yield from ((e.ids, None) for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False))
 
     def _by_word(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids by way of the ids of each text's words, each with the space before it."""
-        split = []
+        """Ids by way of the ids of each text's words, each but the first with the space before it."""
+        if self.seen_size > _REMEMBERED:
+            self.spaced, self.parts, self.seen_size = {}, {}, 0
+        split, firsts, new = [], [], set()
         for t in texts:
             words = _APART.split(t) if _CLOSE.search(t) or t[:1] == " " else t.split(" ")
-            split.append([words[0], *[" " + w for w in words[1:]]] if t else [])
-        new = list(set(chain.from_iterable(split)).difference(self.seen))
-        if self.seen_size > _REMEMBERED:
-            self.seen, self.seen_size = {}, 0
-            new = list(set(chain.from_iterable(split)))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.seen[w] = e.ids
+            firsts.append(words[0])
+            words = words[1:]
+            got = list(map(self.spaced.get, words))
+            if None in got:
+                new.update([w for w, ids in zip(words, got, strict=True) if ids is None])
+                got = None
+            split.append((words, got))
+        made = {w: _PART.findall(w) if _SIMPLE.fullmatch(w) else [w] if w else [] for w in [*firsts, *(" " + w for w in new)]}
+        todo = list({p for own in made.values() for p in own}.difference(self.parts))
+        for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
+            self.parts[p] = tuple(map(self.ids.__getitem__, e.ids))
+            self.seen_size += len(p)
+        ids = {w: tuple(chain.from_iterable(map(self.parts.__getitem__, own))) for w, own in made.items()}
+        for w in new:
+            self.spaced[w] = ids[" " + w]
             self.seen_size += len(w)
-        for words in split:
-            yield list(chain.from_iterable(map(self.seen.__getitem__, words)))
+        for first, (words, got) in zip(firsts, split, strict=True):
+            yield list(chain(ids[first], chain.from_iterable(got or map(self.spaced.__getitem__, words))))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids. Null or unknown ids raise ValueError."""
