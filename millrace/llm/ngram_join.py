@@ -20,6 +20,7 @@ reached yet, so a group of thousands of near copies costs about one comparison f
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 from math import log
 
 import numpy as np
@@ -36,6 +37,8 @@ from .wordhash import pieces, shingle_hashes, text_bytes, word_hashes
 FREQUENT = 20_000
 #: Sets on one side of a tile.
 TILE = 4096
+#: Tiles of this many sets or fewer are compared one pair at a time.
+SMALL = 12
 #: Elements on one side of an exact tile, but for one set that alone has more.
 EXACT = 2_000_000
 
@@ -79,7 +82,7 @@ def _bits_for(n: int) -> int:
 
 
 def shingle_sets(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """``doc_id``, ``n``, ``sig_a``, ``sig_b``, ``prefix`` array<long>, ``bits`` binary of each row of (id, text)."""
+    """``doc_id``, ``n``, ``sig_a``, ``sig_b``, ``prefix`` array<long>, ``packed`` binary of each row of (id, text)."""
     last = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,40 +95,51 @@ def shingle_sets(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarr
                     k = len(own)
                     size.append(k)
                     sig.append((int(own.sum(dtype=np.uint64).view(np.int64)), int((own * own * np.uint64(0x9E3779B97F4A7C15) ^ own).sum(dtype=np.uint64).view(np.int64))))
-                    bits.append(_bitmap(own, _bits_for(k)).tobytes())
+                    bits.append(k.to_bytes(8, "little") + _bitmap(own, _bits_for(k)).tobytes())
                     if len(late) and k:
                         is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
                         own = np.concatenate([own[~is_late], own[is_late]])
                     prefix.append(own[: k - (k * num + den - 1) // den + 1 if k else 0].view(np.int64))
                 sizes = np.array([len(p) for p in prefix])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(prefix)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(size)), pa.array(size, pa.int64()), pa.array([s for s, _ in sig], pa.int64()), pa.array([s for _, s in sig], pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "n", "sig_a", "sig_b", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(size)), pa.array(size, pa.int64()), pa.array([s for s, _ in sig], pa.int64()), pa.array([s for _, s in sig], pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "n", "sig_a", "sig_b", "prefix", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, bits binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, packed binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows that are equal in ``keys``, of batches in which they are adjacent."""
-    held: list[pa.RecordBatch] = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], value: str) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(ids, values) of runs of rows that are equal in ``keys``, of batches in which they are adjacent."""
+    ids: list[np.ndarray] = []
+    values: list[bytes] = []
     now = None
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        own_ids, own_values = batch.column("id").to_numpy(), batch.column(value).to_pylist()
         new = np.zeros(batch.num_rows, bool)
         new[0] = True
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
-        at = [*np.flatnonzero(new), batch.num_rows]
+        at = [*np.flatnonzero(new).tolist(), batch.num_rows]
         for i, j in zip(at[:-1], at[1:], strict=True):
-            key = tuple(c[i] for c in cols)
-            if key != now and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(i, j - i))
-    if held:
-        yield pa.Table.from_batches(held)
+            # A run may go on from the batch before; runs inside a batch differ.
+            if i or tuple(c[0] for c in cols) != now:
+                if ids:
+                    yield np.concatenate(ids) if len(ids) > 1 else ids[0], values
+                ids, values = [], []
+            ids.append(own_ids[i:j])
+            values += own_values[i:j]
+        now = tuple(c[-1] for c in cols)
+    if ids:
+        yield np.concatenate(ids) if len(ids) > 1 else ids[0], values
+
+
+def _edges(made: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids as batches."""
+    while some := list(islice(made, 10_000)):
+        a, b = zip(*some, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def spanning_forest(size: np.ndarray, passes: Callable[[int, np.ndarray], np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -188,6 +202,35 @@ class _Bitmaps:
         return ok
 
 
+def _small_forest(size: list[int], bits: list[bytes], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """The forest of a few sets by the same bound, with whole numbers for bitmaps."""
+    maps = [int.from_bytes(b, "little") for b in bits]
+    left = set(range(len(size)))
+    while left:
+        root = min(left)
+        left.remove(root)
+        front = [root]
+        while front and left:
+            i = front.pop()
+            for j in sorted(left):
+                lo, hi = sorted((size[i], size[j]))
+                if lo * den < hi * num:
+                    continue
+                x, y = maps[i], maps[j]
+                w, v = len(bits[i]) * 8, len(bits[j]) * 8
+                while w > v:
+                    w //= 2
+                    x = (x >> w) | (x & ((1 << w) - 1))
+                while v > w:
+                    v //= 2
+                    y = (y >> v) | (y & ((1 << v) - 1))
+                most = min(size[i] - (x & ~y).bit_count(), size[j] - (y & ~x).bit_count())
+                if most * (num + den) >= num * (size[i] + size[j]):
+                    left.remove(j)
+                    front.append(j)
+                    yield root, j
+
+
 def _tiles(rows: DataFrame, key: str, weight, most: int, num: int, den: int) -> DataFrame:
     """``rows`` with ``tile_i`` and ``tile_j``, repeated for each tile that a row belongs to.
 
@@ -209,28 +252,35 @@ def _tiles(rows: DataFrame, key: str, weight, most: int, num: int, den: int) ->
 def candidate_edges(reps: DataFrame, num: int, den: int) -> DataFrame:
     """``a``, ``b``: forests over sets that share a prefix element and whose bitmaps allow the similarity.
 
-    ``reps`` has ``id``, ``n``, ``prefix``, ``bits``.
+    ``reps`` has ``id``, ``n``, ``prefix``, and ``packed``: the size in 8 bytes and the bitmap.
     """
     rows = reps.select("id", "n", F.explode("prefix").alias("key"))
     by = Window.partitionBy("key").orderBy("n", "id")
     near = (F.lag("n").over(by) * den >= F.col("n") * num) | (F.lead("n").over(by) * num <= F.col("n") * den)
     rows = rows.withColumn("near", near).where("near").drop("near")
     rows = materialise(rows, "join-rows")
-    tiled = _tiles(rows, "key", F.lit(1), TILE, num, den).join(reps.select("id", "bits"), "id")
+    tiled = _tiles(rows, "key", F.lit(1), TILE, num, den).join(reps.select("id", "packed"), "id")
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        for ids, packed in _groups(batches, ["key", "tile_i", "tile_j"], "packed"):
+            if len(ids) == 1:
+                continue
+            # The size stands before the bitmap, so a row has one binary.
+            size = np.array([int.from_bytes(p[:8], "little") for p in packed])
+            bits = [p[8:] for p in packed]
+            if len(ids) <= SMALL:
+                made = _small_forest(size.tolist(), bits, num, den)
+            else:
+                order = np.lexsort((ids, size))
+                ids, size = ids[order], size[order]
+                made = spanning_forest(size, _Bitmaps(size, [bits[i] for i in order], num, den).passes, num, den)
+            for i, j in made:
+                yield int(ids[i]), int(ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["key", "tile_i", "tile_j"]):
-            ids, size = t.column("id").to_numpy(), t.column("n").to_numpy()
-            order = np.lexsort((ids, size))
-            ids, size = ids[order], size[order]
-            bits = t.column("bits").to_pylist()
-            maps = _Bitmaps(size, [bits[i] for i in order], num, den)
-            got = list(spanning_forest(size, maps.passes, num, den))
-            if got:
-                got = np.array(got)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[got[:, 0]]), pa.array(ids[got[:, 1]])], names=["a", "b"])
-
-    tiled = tiled.select("key", "tile_i", "tile_j", "id", "n", "bits").repartition("key", "tile_i", "tile_j").sortWithinPartitions("key", "tile_i", "tile_j")
+        yield from _edges(forests(batches))
+
+    tiled = tiled.select("key", "tile_i", "tile_j", "id", "packed").repartition("key", "tile_i", "tile_j").sortWithinPartitions("key", "tile_i", "tile_j")
     return tiled.mapInArrow(run, "a long, b long")
 
 
@@ -248,17 +298,16 @@ def exact_edges(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
     full = texts.mapInArrow(sets, "id long, elements binary")
     rows = tiled.join(full, "id").select("root", "tile_i", "tile_j", "id", "elements")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["root", "tile_i", "tile_j"]):
-            ids = t.column("id").to_numpy()
-            own = [np.frombuffer(e, np.uint64) for e in t.column("elements").to_pylist()]
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        for ids, elements in _groups(batches, ["root", "tile_i", "tile_j"], "elements"):
+            own = [np.frombuffer(e, np.uint64) for e in elements]
             size = np.array([len(e) for e in own])
             order = np.lexsort((ids, size))
             ids, size, own = ids[order], size[order], [own[i] for i in order]
-            maps = _Bitmaps(size, [_bitmap(e, _bits_for(len(e))).tobytes() for e in own], num, den)
+            maps = _Bitmaps(size, [_bitmap(e, _bits_for(len(e))).tobytes() for e in own], num, den) if len(own) > SMALL else None
 
             def passes(i: int, js: np.ndarray) -> np.ndarray:
-                ok = maps.passes(i, js)
+                ok = maps.passes(i, js) if maps else np.ones(len(js), bool)
                 for k in np.flatnonzero(ok):
                     x, y = own[i], own[js[k]]
                     if len(x) > len(y):
@@ -267,10 +316,11 @@ def exact_edges(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
                     ok[k] = both * den >= num * (len(x) + len(y) - both)
                 return ok
 
-            got = list(spanning_forest(size, passes, num, den))
-            if got:
-                got = np.array(got)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[got[:, 0]]), pa.array(ids[got[:, 1]])], names=["a", "b"])
+            for i, j in spanning_forest(size, passes, num, den):
+                yield int(ids[i]), int(ids[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _edges(forests(batches))
 
     rows = rows.repartition("root", "tile_i", "tile_j").sortWithinPartitions("root", "tile_i", "tile_j")
     return rows.mapInArrow(run, "a long, b long")
@@ -289,7 +339,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     linked = sets.where("n > 0 and doc_id is not null")
     classes = materialise(linked.groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep")), "join-classes")
     reps = linked.join(classes, ["sig_a", "sig_b", "n"]).where("doc_id = rep").dropDuplicates(["doc_id", "sig_a", "sig_b"])
-    reps = materialise(reps.select(F.col("doc_id").alias("id"), "n", "prefix", "bits"), "join-reps")
+    reps = materialise(reps.select(F.col("doc_id").alias("id"), "n", "prefix", "packed"), "join-reps")
     roots = materialise(connected_components(candidate_edges(reps, num, den)), "join-candidates")
     members = roots.withColumnRenamed("node", "id").join(reps.select("id", "n"), "id")
     links = exact_edges(docs, members, n, num, den)
