@@ -42,25 +42,24 @@ def _places(distance: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(line: Column, distance: int, least: int, salt: Column) -> Column:
-    """array<struct<key, start, len>> of a line of ``least`` code points or more; starts count from 0."""
-    m = distance + 1
-    n = F.length(line)
-    out = []
-    for i, less, shift in _places(distance):
-        size = n - less
-        short = F.floor(size / m).cast("int")
-        n_short = F.lit(m) - size % m
-        start = F.when(F.lit(i - 1) <= n_short, short * (i - 1)).otherwise(short * (i - 1) + (F.lit(i - 1) - n_short)) + shift
-        width = F.when(F.lit(i) <= n_short, short).otherwise(short + 1)
-        ok = (size >= least) & (start >= 0) & (start + width <= n)
-        key = F.xxhash64(F.substr(line, start + 1, width), F.lit(i), size, salt)
-        out.append(F.when(ok, F.struct(key.alias("key"), start.cast("int").alias("start"), width.cast("int").alias("len"))))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
-
+def _keyed(rows: DataFrame, line: str, distance: int, least: int, salt: Column) -> DataFrame:
+    """``rows`` once for each key of ``line``, with ``key``, ``start`` (from 0) and ``len`` of the part it is of.
 
-def _plain_keys(line: Column, distance: int, least: int) -> Column:
-    return F.transform(_keys(line, distance, least, F.lit(0)), lambda k: k["key"])
+    Lines of sizes that can't be under ``least`` code points have no keys of theirs. Rows repeat
+    before keys are made, so one short expression makes every key.
+    """
+    m = distance + 1
+    places = _places(distance)
+    rows = rows.withColumns({"_n": F.length(line), "_p": F.explode(F.array(*map(F.lit, range(len(places)))))})
+    i, less, shift = (F.get(F.array(*[F.lit(p[k]) for p in places]), F.col("_p")) for k in range(3))
+    rows = rows.withColumns({"_i": i, "_size": F.col("_n") - less, "_shift": shift}).where(F.col("_size") >= least)
+    # The first parts are a code point shorter than the last ones if the size isn't a multiple.
+    short = F.expr(f"_size div {m}").cast("int")
+    late = F.greatest(F.col("_i") - 1 - (F.lit(m) - F.col("_size") % m), F.lit(0))
+    rows = rows.withColumns({"start": short * (F.col("_i") - 1) + late + F.col("_shift"), "len": short + F.when(F.col("_i") > F.lit(m) - F.col("_size") % m, 1).otherwise(0)})
+    rows = rows.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("_n")))
+    key = F.xxhash64(F.substr(line, F.col("start") + 1, F.col("len")), F.col("_i"), F.col("_size"), salt)
+    return rows.withColumn("key", key).drop("_n", "_p", "_i", "_size", "_shift")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -77,23 +76,48 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
-def candidate_pairs(lines: DataFrame, distance: int, least: int) -> DataFrame:
-    """``a``, ``b``: hashes of different lines that share a key, a < b."""
-    long = lines.where(F.length("line") >= least)
-    rows = long.select("h", F.explode(_plain_keys(F.col("line"), distance, least)).alias("key"))
-    groups = materialise(_groups(rows), "line-groups")
-    pairs = groups.where("not many").select("a", "b")
-    large = groups.where("many").select("key")
-    again = long.select("h", "line", F.explode(_keys(F.col("line"), distance, least, F.lit(0))).alias("k"))
-    again = again.withColumn("key", F.col("k.key")).join(large, "key", "left_semi")
-    rest = F.concat(F.substr("line", F.lit(1), F.col("k.start")), F.substr("line", F.col("k.start") + F.col("k.len") + 1, F.length("line")))
-    again = again.select("h", "key", rest.alias("rest"))
-    again = again.select("h", F.explode(F.transform(_keys(F.col("rest"), distance, 1, F.col("key")), lambda k: k["key"])).alias("key"))
-    inner = materialise(again.distinct(), "line-inner")
-    inner_groups = materialise(_groups(inner), "line-inner-groups")
-    left = inner.join(inner_groups.where("many").select("key"), "key", "left_semi")
-    more = left.select("key", F.col("h").alias("a")).join(left.select("key", F.col("h").alias("b")), "key").where("a < b").select("a", "b")
-    return pairs.unionByName(inner_groups.where("not many").select("a", "b")).unionByName(more).distinct()
+def first_pass(lines: DataFrame, distance: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a``, ``b`` of groups of two, and ``h``, ``outer``, ``start``, ``len`` of the lines in larger groups.
+
+    Rows here are hashes and places; no text moves.
+    """
+    long = lines.where(F.length("line") >= least).select("h", "line")
+    keyed = _keyed(long, "line", distance, least, F.lit(0)).select("key", "h", "start", "len")
+    groups = materialise(_groups(keyed.select("key", "h")), "line-groups")
+    large = materialise(groups.where("many").select("key"), "line-large")
+    members = keyed.join(large, "key", "left_semi").select("h", F.col("key").alias("outer"), "start", "len").distinct()
+    return groups.where("not many").select("a", "b"), materialise(members, "line-members")
+
+
+#: Longs of a line's bitmap of character pairs.
+_LONGS = 4
+
+
+def _bitmap(line: str) -> Column:
+    """array<long> with a bit for the hash of every two adjacent characters of the column ``_c``, the characters of ``line``."""
+    places = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(F.size("_c"), F.lit(1))), F.lit(1), F.greatest(F.size("_c") - 1, F.lit(0))), lambda i: F.pmod(F.xxhash64(F.get("_c", i), F.get("_c", i + 1)), F.lit(64 * _LONGS)))
+    return F.array(*[F.aggregate(F.filter(F.array_distinct(places), lambda x, k=k: F.floor(x / 64) == k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int")))) for k in range(_LONGS)])
+
+
+def second_pass(members: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of lines in one larger group whose rests share a key; ``texts`` has ``h``, ``line``.
+
+    Where more than two share that key too, only lines pair whose bitmaps of character pairs allow the
+    distance: an edit takes away two pairs and adds two at most, so 4 * distance bits may differ.
+    """
+    rows = members.join(texts, "h")
+    rest = F.concat(F.substr("line", F.lit(1), F.col("start")), F.substr("line", F.col("start") + F.col("len") + 1, F.length("line")))
+    rows = rows.select("h", "outer", rest.alias("rest"))
+    inner = materialise(_keyed(rows, "rest", distance, 1, F.col("outer")).select("key", "h").distinct(), "line-inner")
+    groups = materialise(_groups(inner), "line-inner-groups")
+    left = inner.join(groups.where("many").select("key"), "key", "left_semi")
+    maps = texts.join(left.select("h").distinct(), "h", "left_semi").withColumn("_c", F.split("line", ""))
+    left = materialise(left.join(maps.select("h", _bitmap("line").alias("m")), "h"), "line-crowded")
+    differ = reduce(Column.__add__, [F.bit_count(F.col("m")[k].bitwiseXOR(F.col("m2")[k])) for k in range(_LONGS)])
+    near = (F.col("a") < F.col("b")) & (differ <= 4 * distance)
+    right = left.select(F.col("key").alias("key2"), F.col("h").alias("b"), F.col("m").alias("m2"))
+    more = left.withColumnRenamed("h", "a").join(right, (F.col("key") == F.col("key2")) & near).select("a", "b")
+    return groups.where("not many").select("a", "b").unionByName(more)
 
 
 def within(a: Column, b: Column, distance: int) -> Column:
@@ -107,24 +131,34 @@ def within(a: Column, b: Column, distance: int) -> Column:
     names = [f"r{k}" for k in range(distance + 1)]
     start = F.struct(*[F.lit(sum(1 << (d + distance) for d in range(k + 1))).alias(names[k]) for k in range(distance + 1)])
 
-    def step(acc: Column, j: Column) -> Column:
-        c = F.get(b, j)
-        equal = reduce(Column.bitwiseOR, [F.when(F.get(a, j + d) == c, F.lit(1 << (d + distance))).otherwise(F.lit(0)) for d in range(-distance, distance + 1)])
+    def equal(c: Column, j: Column) -> Column:
+        """The diagonals on which character j of b meets an equal one of a."""
+        return reduce(Column.bitwiseOR, [F.when(F.get(a, j + d) == c, F.lit(1 << (d + distance))).otherwise(F.lit(0)) for d in range(-distance, distance + 1)])
+
+    def step(acc: Column, e: Column) -> Column:
         new: list[Column] = []
         for k, name in enumerate(names):
-            own = acc[name].bitwiseAND(equal)
+            own = acc[name].bitwiseAND(e)
             if k:
                 fewer = acc[names[k - 1]]
                 own = own.bitwiseOR(fewer).bitwiseOR(F.shiftright(fewer, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(mask))
             new.append(own)
         return F.struct(*[x.alias(n) for x, n in zip(new, names, strict=True)])
 
-    # An empty b leaves the start; sequence() would count down, so it is cut to none.
-    steps = F.slice(F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0))), F.lit(1), F.size(b))
+    steps = F.transform(b, equal)
     at_end = F.aggregate(steps, start, step, lambda acc: acc[names[-1]])
     return F.call_function("shiftright", at_end, F.size(a) - F.size(b) + distance).bitwiseAND(F.lit(1)) == 1
 
 
+def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``places`` (h, h2, id, line_no) with their ``line``."""
+    need = materialise(places.groupBy("id").agg(F.collect_set("line_no").alias("need")), "line-need")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.col(text_col).alias("text")).join(need, "id")
+    rows = rows.select("id", "need", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("need", F.col("line_no")))
+    rows = rows.select("id", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    return rows.join(places, ["h", "h2", "id", "line_no"], "left_semi").dropDuplicates(["h", "h2"])
+
+
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, min_chars: int = 20) -> DataFrame:
     """``id``, ``line_no``, ``h``, ``near``, ``of_id``, ``of_line``: every line that goes, and an earlier one that it repeats.
 
@@ -140,21 +174,18 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     classes = materialise(classes.select("h", "h2", "first.id", "first.line_no", "n"), "line-classes")
     marks = classes.where("n > 1").select("h", "h2", F.lit(False).alias("near"), F.col("id").alias("of_id"), F.col("line_no").alias("of_line"), F.col("id").alias("first_id"), F.col("line_no").alias("first_line"))
     if distance:
-        pairs = materialise(candidate_pairs(lines, distance, min_chars), "line-pairs")
-        for side in ("a", "b"):
-            one = classes.select(F.col("h").alias(side), F.struct("id", "line_no", "h", "h2").alias(f"{side}_at"))
-            pairs = pairs.join(one, side)
-        pairs = materialise(pairs.select("a_at", "b_at"), "line-places")
-        need = pairs.select(F.col("a_at.id").alias("id"), F.col("a_at.line_no").alias("line_no")).unionByName(pairs.select("b_at.id", "b_at.line_no")).distinct()
-        need = materialise(need.groupBy("id").agg(F.collect_set("line_no").alias("need")), "line-need")
-        texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.col(text_col).alias("text")).join(need, "id")
-        texts = texts.select("id", "need", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("need", F.col("line_no")))
-        texts = texts.select(F.struct("id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2")).alias("at"), "line").dropDuplicates(["at"])
-        texts = materialise(texts, "line-texts")
+        pairs, members = first_pass(lines, distance, min_chars)
+        some = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).unionByName(members.select("h")).distinct()
+        places = materialise(classes.join(some, "h", "left_semi").select("h", "h2", "id", "line_no"), "line-places")
+        texts = materialise(_texts(docs, places, id_col, text_col), "line-texts")
+        # Lines of one 64-bit hash and different texts, if any, are all tried.
+        pairs = pairs.unionByName(second_pass(members, texts.select("h", "line"), distance)).distinct()
         for side in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("at").alias(f"{side}_at"), F.split("line", "").alias(f"{side}_c")), f"{side}_at")
-        pairs = pairs.where(F.abs(F.size("a_c") - F.size("b_c")) <= distance)
-        pairs = pairs.where(within(F.col("a_c"), F.col("b_c"), distance))
+            pairs = pairs.join(texts.select(F.col("h").alias(side), F.struct("id", "line_no", "h", "h2").alias(f"{side}_at"), F.col("line").alias(f"{side}_line")), side)
+        pairs = pairs.where(F.abs(F.length("a_line") - F.length("b_line")) <= distance)
+        # Out of a generator: a filter on split() itself would move into it and split for every character.
+        pairs = pairs.withColumn("c", F.explode(F.array(F.struct(F.split("a_line", "").alias("a"), F.split("b_line", "").alias("b")))))
+        pairs = pairs.where(within(F.col("c.a"), F.col("c.b"), distance))
         pairs = pairs.select(F.greatest("a_at", "b_at").alias("late"), F.least("a_at", "b_at").alias("early"))
         near = pairs.groupBy(F.col("late.h").alias("h"), F.col("late.h2").alias("h2")).agg(F.min("early").alias("e"))
         near = near.select("h", "h2", F.lit(True).alias("near"), F.col("e.id").alias("of_id"), F.col("e.line_no").alias("of_line"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("int").alias("first_line"))
