@@ -1,7 +1,8 @@
 """Benchmark decontamination: every passage of every document is a query against the test items.
 
-The test items are the indexed side. Terms are words (see wordhash); an item's weight for a term
-is BM25's. Weights are divided by the item's own threshold, ``share`` of the score of its own text, so
+The test items are the indexed side. Terms are words of letters, marks and digits in lower case, on both
+sides, so signs glued to a word don't count; items of signs alone are compared by words between white
+space. An item's weight for a term is BM25's. Weights are divided by the item's own threshold, ``share`` of the score of its own text, so
 1 is the threshold of all items. Items stand in blocks of ``BLOCK`` by length, and the index keeps the
 largest weight of each term in each block.
 
@@ -10,7 +11,9 @@ a document holds lies whole in one passage. As in block-max WAND, the sum of a p
 maxima bounds the score of every item of the block; only blocks whose bound reaches 1 are scored,
 exactly, and every item at 1 or more is retrieved. A retrieved item is verified: the shares of
 the 5-word shingles of its question and of its answer that the passage holds must both reach
-``overlap``. The question is the first line, the answer the rest; an item of one line parts in the middle.
+``overlap``. An altered word takes five shingles, all that a short part has; so a part of under 14 words
+may also reach it by shorter shingles, of which an altered word takes half at most, within the place beside the
+other part where an item so aligned has it. The question is the first line, the answer the rest; an item of one line parts in the middle.
 
 Items go through in groups of ``GROUP``, sorted by length, a broadcast index and a pass over the
 documents each, so a benchmark of any size keeps memory bounded. No pass shuffles documents.
@@ -23,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +37,17 @@ GROUP = 1000
 #: Fixed: BM25's constants.
 K1, B = 1.2, 0.75
 SHINGLE = 5
+#: Words by which a short part may lie off its place: on the item's outer sides, and toward the other part.
+OUTER, INNER = 5, 2
 
 
-def _words(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), np.uint8)
+def _plain(column: pa.Array) -> pa.Array:
+    """Lower case, with one space for each run of anything but letters, marks and digits."""
+    return pc.replace_substring_regex(pc.utf8_lower(column.cast(pa.large_string())), r"[^\pL\pM\pN ]+", " ")
+
+
+def _words(text: str, signs: bool = False) -> np.ndarray:
+    raw = np.frombuffer((text if signs else _plain(pa.array([text]))[0].as_py()).encode(), np.uint8)
     return word_hashes(raw, np.array([0, len(raw)]))[0]
 
 
@@ -46,20 +57,69 @@ def _shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, np.array([0, len(words)]), n)[0])
 
 
-def question_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
+class Part:
+    """A part's shingles of five words or, if it is shorter, its words as one; and its shorter shingles by place."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.n = min(SHINGLE, len(words))
+        self.shingles = _shingles(words, max(1, self.n))
+        self.short = min(SHINGLE, max(1, (len(words) + 1) // 3))
+        own = shingle_hashes(words, np.array([0, len(words)]), self.short)[0] if len(words) else words
+        self.own, self.offset = np.unique(own, return_index=True)
+
+    def hits(self, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``span`` of the part's short shingles, and which ones."""
+        if not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = shingle_hashes(span, np.array([0, len(span)]), self.short)[0]
+        which = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
+        at = np.flatnonzero(self.own[which] == h)
+        return at, which[at]
+
+
+def aligned_shares(span: np.ndarray, parts: tuple[Part, Part], shares: list[float]) -> list[float]:
+    """``shares`` with those of parts under 14 words by short shingles, for the place of the item that suits both best.
+
+    Places are those at which the part with the longer shingles has one. If both parts are under five
+    words, the item is one part.
+    """
+    if max(p.short for p in parts) == 1:
+        whole = Part(np.concatenate([p.words for p in parts]))
+        if whole.short == 1:
+            return shares
+        return [max(aligned_shares(span, (whole, Part(whole.words[:0])), [0.0, 1.0])[0], x) for x in shares]
+    hits = [p.hits(span) for p in parts]
+    main = 0 if parts[0].short >= parts[1].short else 1
+    at, which = hits[main]
+    size = len(parts[0].words)
+    best = shares
+    for start in np.unique(at - parts[main].offset[which] - main * size).tolist():
+        limits = ((start - OUTER, start + size + INNER), (start + size - INNER, start + size + len(parts[1].words) + OUTER))
+        new = []
+        for part, (p, k), (low, high), share in zip(parts, hits, limits, shares, strict=True):
+            if part.short < SHINGLE and len(part.words):
+                share = max(share, len(np.unique(k[(p >= low) & (p + part.short <= high)])) / len(part.own))
+            new.append(share)
+        best = max(best, new, key=min)
+    return best
+
+
+def question_answer(text: str, signs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of both parts."""
     first, _, rest = text.strip().partition("\n")
     if rest.strip():
-        return _words(first), _words(rest)
-    words = _words(text)
+        return _words(first, signs), _words(rest, signs)
+    words = _words(text, signs)
     return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
 
 
 class ItemIndex:
     """The index of one group of items, (id, text) sorted by length."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], n_items: int, mean: float, share: float) -> None:
-        words = [_words(t) for _, t in items]
+    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], n_items: int, mean: float, share: float, signs: bool = False) -> None:
+        words = [_words(t, signs) for _, t in items]
+        self.signs = signs
         self.ids = [i for i, _ in items]
         self.half = max(32, max(map(len, words)))
         self.terms = np.unique(np.concatenate(words))
@@ -72,7 +132,8 @@ class ItemIndex:
             idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
             weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
             self.weights[k // BLOCK, np.searchsorted(self.terms, own), k % BLOCK] = weight / (share * weight.sum())
-            self.parts.append([(p, min(SHINGLE, len(p)), _shingles(p, min(SHINGLE, max(1, len(p))))) for p in question_answer(text)])
+            question, answer = question_answer(text, signs)
+            self.parts.append((Part(question), Part(answer)))
         self.best = np.ascontiguousarray(self.weights.max(2).T)  # a row for each term
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[self.terms & np.uint64((1 << 18) - 1)] = True
@@ -118,13 +179,15 @@ class ItemIndex:
                 a = at[t] + (p - first[t]) * self.half
                 span = words[a : min(at[t + 1], a + 2 * self.half)]
                 shares = []
-                for part, n, own_shingles in self.parts[item]:
-                    if not len(part):
+                for part in self.parts[item]:
+                    if not part.n:
                         shares.append(1.0)
                         continue
-                    if (p, n) not in shingles:
-                        shingles[p, n] = _shingles(span, n)
-                    shares.append(float(np.isin(own_shingles, shingles[p, n]).mean()))
+                    if (p, part.n) not in shingles:
+                        shingles[p, part.n] = _shingles(span, part.n)
+                    shares.append(float(np.isin(part.shingles, shingles[p, part.n]).mean()))
+                if min(shares) < overlap:
+                    shares = aligned_shares(span, self.parts[item], shares)
                 if min(shares) >= overlap and (float(scores[j]), *shares) > found.get((t, item), (0.0, 0.0, 0.0)):
                     found[t, item] = (float(scores[j]), *shares)
         for (t, item), x in found.items():
@@ -142,17 +205,20 @@ def build(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text",
     n = total = 0
     for r in rows.toLocalIterator():
         w = _words(r["t"])
+        w = w if len(w) else _words(r["t"], True)
         n, total = n + 1, total + len(w)
         for t in set(w.tolist()):
             frequency[t] = frequency.get(t, 0) + 1
-    group: list[tuple[int, str]] = []
+    groups: dict[bool, list[tuple[int, str]]] = {False: [], True: []}
     for r in rows.toLocalIterator():
-        group.append((r["i"], r["t"]))
-        if len(group) == GROUP:
-            yield ItemIndex(group, frequency, n, total / n, share)
-            group = []
-    if group:
-        yield ItemIndex(group, frequency, n, total / n, share)
+        signs = not len(_words(r["t"]))
+        groups[signs].append((r["i"], r["t"]))
+        if len(groups[signs]) == GROUP:
+            yield ItemIndex(groups[signs], frequency, n, total / n, share, signs)
+            groups[signs] = []
+    for signs, group in groups.items():
+        if group:
+            yield ItemIndex(group, frequency, n, total / n, share, signs)
 
 
 def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5, overlap: float = 0.5) -> DataFrame:
@@ -172,7 +238,7 @@ def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
             own = shared.value
             for batch in batches:
                 made = []
-                for i, words, at in _pieces(batch.column(1)):
+                for i, words, at in _pieces(batch.column(1), own.signs):
                     made += [(i + t, own.ids[k], *x) for t, k, *x in own.search(words, at, overlap)]
                 if made:
                     at, ids, *rest = zip(*made, strict=True)
@@ -195,7 +261,7 @@ def remove(docs: DataFrame, items: DataFrame, *, text_col: str = "text", share:
             own = shared.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for i, words, at in _pieces(batch.column(names.index(text_col))):
+                for i, words, at in _pieces(batch.column(names.index(text_col)), own.signs):
                     clean[[i + t for t, *_ in own.search(words, at, overlap)]] = False
                 yield batch.filter(pa.array(clean))
 
@@ -204,8 +270,8 @@ def remove(docs: DataFrame, items: DataFrame, *, text_col: str = "text", share:
     return reduce(one, build(items, share=share), docs)
 
 
-def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    raw, at = text_bytes(column)
+def _pieces(column: pa.Array, signs: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    raw, at = text_bytes(column if signs else _plain(column))
     for i, _, r, a in pieces(raw, at):
         words, word_at = word_hashes(r, a)
         if len(words):

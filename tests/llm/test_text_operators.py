@@ -210,6 +210,24 @@ def test_decontamination(spark, odd, none):
     assert sorted(str(r["doc_id"]) for r in find(odd, one).collect()) == ["-5", "8", "9", "None"]
 
 
+def test_decontamination_glued_signs_and_altered_words(spark):
+    from millrace.llm.decontaminate import find
+
+    question = "Which of these rivers runs through the old town of Basel and then on to the sea"
+    items = [(1, f"{question}\nIt is the river Rhine"), (2, "Name the tallest hill near Oslo\nGrefsen ridge"), (3, "?? !! ;; ++\n== -- <<")]
+    docs = [
+        (1, f"before*** {question}\nIt is the river Rhine.%%% after"),
+        (2, f"before {question.upper()} “It is the big Rhine” after"),
+        (3, "x (Name the tallest hill near Oslo) Grefsen%%% ridge$$$ y"),
+        (4, "x Name the tallest hill near Bergen: Grefsen slope y"),
+        (5, f"{question}? Nobody said so. Many words that are others follow here until the river comes"),
+        (6, "a ?? !! ;; ++ == -- << b"),
+        (7, "Grefsen is near Oslo, and a hill; the tallest name of a ridge is another"),
+    ]
+    got = find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 1), (3, 2), (4, 2), (6, 3)]
+
+
 def test_block_bounds_find_what_scoring_all_finds(spark):
     """Every item at its threshold is retrieved: against BM25 of all passages and items."""
     import numpy as np
