@@ -146,11 +146,17 @@ def _polynomial(a: np.ndarray, b: np.ndarray, season: int) -> np.ndarray:
 
 def _residuals(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
     """Conditional residuals of an ARMA recursion, starting from zeros."""
-    e = np.zeros(len(w))
-    for t in range(len(w)):
-        k, q = min(t, len(ar)), min(t, len(ma))
-        e[t] = w[t] - (ar[:k] @ w[t - k : t][::-1] if k else 0) - (ma[:q] @ e[t - q : t][::-1] if q else 0)
-    return e
+    u = w - np.convolve(w, np.concatenate([[0.0], ar]))[: len(w)]
+    # Seasonal weights are mostly zero, and plain floats are quicker than arrays of one.
+    lags = [(j + 1, float(c)) for j, c in enumerate(ma) if c]
+    e: list[float] = []
+    for t, x in enumerate(u.tolist()):
+        for lag, c in lags:
+            if lag > t:
+                break
+            x -= c * e[t - lag]
+        e.append(x)
+    return np.array(e)
 
 
 def sarima_forecast(y: np.ndarray, horizon: int, order: tuple[int, int, int] = (1, 1, 1), seasonal: tuple[int, int, int, int] = (1, 1, 1, 12), sweeps: int = 6) -> np.ndarray:
@@ -228,4 +234,6 @@ def sarima(folded: DataFrame, p: Panel = Panel(), order: tuple[int, int, int] =
             predicted, failed = np.full(len(val), y.mean() if len(y) else 0.0), True
         return val[[*key, p.date]].assign(actual=val[p.target].astype(float), predicted=predicted, failed=failed)
 
-    return folded.select(*key, p.date, p.target, "role").groupBy(*key).applyInPandas(run, schema)
+    # Fits take long and rows are few, so parts by size would put all fits in one task.
+    parts = 2 * folded.sparkSession.sparkContext.defaultParallelism
+    return folded.select(*key, p.date, p.target, "role").repartition(parts, *key).groupBy(*key).applyInPandas(run, schema)

@@ -429,15 +429,14 @@ def ridge(spark, d):
 @query()
 def gbt(spark, d):
     train, val, _ = _matrix(spark, d)
-    how = fc.Boosting(trees=10, depth=4)
-    out = fc.fit_boosted(train, how).transform(val).select(F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
+    out = fc.fit_boosted(train, fc.Boosting()).transform(val).select(F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
     return mt.evaluate(out.withColumn("model", F.lit("boosted")), ["model"])
 
 
 @query()
 def importance(spark, d):
     train, _, names = _matrix(spark, d)
-    return fc.importance(fc.fit_boosted(train, fc.Boosting(trees=5, depth=4)), names)
+    return fc.importance(fc.fit_boosted(train, fc.Boosting()), names)
 
 
 @query()
@@ -449,11 +448,10 @@ def tune(spark, d):
 
 @query()
 def sarima(spark, d):
-    """The last fold of all series."""
+    """Means of the metrics over all folds, of all series."""
     df = _panel(spark, d).select(*KEY, "date", "quantity")
-    plan = sp.folds(df)
-    last = plan.join(plan.agg(F.max("fold").alias("fold")), "fold")
-    return mt.evaluate(fc.sarima(sp.assign(df, last)).withColumn("model", F.lit("sarima")), ["model"])
+    found = fc.sarima(sp.assign(df, sp.folds(df))).withColumn("model", F.lit("sarima"))
+    return mt.compare(mt.evaluate(found, ["model", "fold"]))
 
 
 @query(with_(_NAIVE, "SELECT date, CAST(sum(actual) AS BIGINT) AS actual, sum(predicted) AS predicted FROM naive GROUP BY date"))

@@ -224,6 +224,35 @@ def test_boosting_importance_and_tuning(spark):
     assert trials.count() == 3 and 1 <= best.trees <= 3 and 0.1 <= best.rate <= 0.5
 
 
+def test_queries_fit_the_whole_job(spark, monkeypatch):
+    """All folds for sarima, and the default trees for gbt and importance."""
+    from millrace.plans import queries as q
+
+    folds, trees = [], []
+
+    def fake_sarima(df):
+        folds.append(df.select("fold").distinct().count())
+        rows = df.where("role = 'validation'")
+        return rows.select("fold", F.col("quantity").alias("actual"), F.lit(0.0).alias("predicted"))
+
+    def fake_fit(train, how):
+        trees.append(how.trees)
+        raise StopIteration
+
+    monkeypatch.setattr(q.fc, "sarima", fake_sarima)
+    monkeypatch.setattr(q.fc, "fit_boosted", fake_fit)
+    monkeypatch.setattr(q, "_matrix", lambda *_: (None, None, []))
+    panel = _series(spark, 36, 3, lambda m: m).drop("role", "fold")
+    monkeypatch.setattr(q, "_panel", lambda *_: panel)
+    n = q.sp.folds(panel).count()
+    got = q.sarima(spark, "").collect()
+    assert folds == [n] and n > 1 and len(got) == 1
+    for name in ("gbt", "importance"):
+        with pytest.raises(StopIteration):
+            getattr(q, name)(spark, "")
+    assert trees == [100, 100]
+
+
 def test_sarima(spark):
     y = np.array([10 + 5 * math.sin(m * math.pi / 6) + 0.2 * m for m in range(60)])
     assert np.abs(fc.sarima_forecast(y[:57], 3) - y[57:]).max() < 1
