@@ -1,22 +1,25 @@
 """Line dedup by a segment-partition edit join, in DataFrame expressions only.
 
-Lines are the parts of a text between line feeds. A line goes if an equal line, or one within
-``distance`` edits (code points inserted, deleted or replaced), occurs earlier; earlier is a smaller
-id, then a smaller line number. Blank lines stay, and lines under ``min_chars`` code points go for
-equal ones alone.
+Lines are the parts of a text between line feeds. Two lines are linked if they are equal, or if the
+edits between them (code points inserted, deleted or replaced) are at most the distance that ``BANDS``
+gives the shorter one. Components of links are the classes of lines; the first line of a class
+stays and the others go. First is a smaller id, then a smaller hash of the document's text, then a smaller line
+number. Blank lines stay; lines too short for the first band go for equal ones alone.
 
 1. Equal lines become one by a 128-bit hash, with their first occurrence and count.
-2. A line of length l is cut into distance + 1 segments at fixed places; two lines within the distance
-   share a segment of the shorter at a place that the lengths bound. So a line has a key for each
-   of its segments, and keys for its substrings at the places where a line that is as long or up
-   to ``distance`` shorter may have a segment.
-3. A key's group is reduced by minimum, maximum, bitwise and, and bitwise or of its lines' hashes, which
-   combine before the shuffle. They tell groups of one line (no pair), of two (the pair is their
-   minimum and maximum), and of more. In groups of more, what is left of the lines around the shared
-   part is partitioned once more in the same way, so a segment that very many lines share
-   pairs only lines that share a second one.
-4. Pairs get their texts and are verified by a banded bit-parallel automaton: one bit for each of the
-   2 distance + 1 diagonals, a register for each number of edits, all advanced by one character at a time.
+2. Sizes fall into classes, four to a doubling. A class has a distance t and cuts t + 1 segments of one
+   size. Of t edits one segment i is spared with exactly i - 1 edits before it, so it lies in the other line
+   at most i - 1 places off from the line's start, or t + 1 - i from its end, whichever is less. A line is
+   indexed under its segments and its substrings at those places: 2 and 5 keys for 1 and 2 edits,
+   and once more in the class below if a shorter line of that class may be near.
+3. A key's occurrences are counted with their least and largest line. Two lines make a pair; up to
+   ``SMALL`` make all their pairs, a bounded number each.
+4. In larger groups every line is compared with one hub, the line whose keys are the most popular, and groups that
+   links have joined into one are done. What is left is cut into 4 (t + 1) chunks. Of those t + 1 that are the rarest among such lines, the other line
+   has one, t places off at most; lines that meet there, are not joined yet, and whose bitmaps of character triples allow the distance make pairs.
+5. Pairs must share all but t of their 4 (t + 1) chunks within t places. What lies between their common ends is
+   then verified by a banded bit-parallel automaton: one bit for each of the 2 t + 1 diagonals, a
+   register for each number of edits, all advanced by one character at a time.
 """
 
 from __future__ import annotations
@@ -25,115 +28,131 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .components import connected_components
 from .scratch import materialise
 
+#: (least length, distance): from 10 code points one edit, and so on.
+BANDS = ((10, 1), (20, 2))
+#: Keys of up to this many lines give all their pairs.
+SMALL = 8
 _NONE = -(1 << 63)
+#: Steps in which common ends are measured.
+_STEPS = (4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8)
 
 
-def _places(distance: int) -> list[tuple[int, int, int]]:
-    """(segment, how much shorter its line is, shift of its place) that a line looks at."""
-    m = distance + 1
-    out = []
-    for less in range(m):
-        for i in range(1, m + 1):
-            for shift in range(max(1 - i, less - (m - i)), min(i - 1, less + m - i) + 1):
-                out.append((i, less, shift))
-    return out
+def _check(bands: tuple[tuple[int, int], ...]) -> None:
+    for (least, t), (after, more) in zip(bands, [*bands[1:], (1 << 30, 17)][: len(bands)], strict=True):
+        step = 1 << max(0, least.bit_length() - 3)
+        if not (0 < t < more and t <= 16 and least < after) or least % step or step < t or least < 4 * (t + 1):
+            raise ValueError(f"a band of {t} edits can't start at {least}: lengths and distances ascend, a length has at most three leading bits and is 4 (t + 1) at least, and t at most a quarter of its leading power of two")
 
 
-def _keyed(rows: DataFrame, line: str, distance: int, least: int, salt: Column) -> DataFrame:
-    """``rows`` once for each key of ``line``, with ``key``, ``start`` (from 0) and ``len`` of the part it is of.
+def _size_class(n: Column) -> Column:
+    """The least size of n's class: n with all but its three leading bits cleared."""
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(n)) - 3, F.lit(0)))
+    return n - n % step
 
-    Lines of sizes that can't be under ``least`` code points have no keys of theirs. Rows repeat
-    before keys are made, so one short expression makes every key.
-    """
-    m = distance + 1
-    places = _places(distance)
-    rows = rows.withColumns({"_n": F.length(line), "_p": F.explode(F.array(*map(F.lit, range(len(places)))))})
-    i, less, shift = (F.get(F.array(*[F.lit(p[k]) for p in places]), F.col("_p")) for k in range(3))
-    rows = rows.withColumns({"_i": i, "_size": F.col("_n") - less, "_shift": shift}).where(F.col("_size") >= least)
-    # The first parts are a code point shorter than the last ones if the size isn't a multiple.
-    short = F.expr(f"_size div {m}").cast("int")
-    late = F.greatest(F.col("_i") - 1 - (F.lit(m) - F.col("_size") % m), F.lit(0))
-    rows = rows.withColumns({"start": short * (F.col("_i") - 1) + late + F.col("_shift"), "len": short + F.when(F.col("_i") > F.lit(m) - F.col("_size") % m, 1).otherwise(0)})
-    rows = rows.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("_n")))
-    key = F.xxhash64(F.substr(line, F.col("start") + 1, F.col("len")), F.col("_i"), F.col("_size"), salt)
-    return rows.withColumn("key", key).drop("_n", "_p", "_i", "_size", "_shift")
-
-
-def _groups(rows: DataFrame) -> DataFrame:
-    """``key``, ``a``, ``b``, ``many`` of keys that two lines or more have; rows are (key, h)."""
-    g = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.bit_and("h").alias("x"), F.bit_or("h").alias("y"))
-    many = (F.col("x") != F.col("a").bitwiseAND(F.col("b"))) | (F.col("y") != F.col("a").bitwiseOR(F.col("b")))
-    return g.where("a <> b").select("key", "a", "b", many.alias("many"))
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``line_no`` from 0, ``line``, ``h``, ``h2`` of lines with more than white space."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    rows = rows.where(F.col("line").rlike(r"[^ \t\r\f\x0B]"))
-    return rows.select("id", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
+def _by_band(bands: tuple[tuple[int, int], ...], size: Column, what) -> Column:
+    """``what(t)`` of the band that a size lies in, null below the first and for null."""
+    out = F.when(size >= bands[-1][0], what(bands[-1][1]))
+    for least, t in bands[-2::-1]:
+        out = out.when(size >= least, what(t))
+    return out
 
-def first_pass(lines: DataFrame, distance: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a``, ``b`` of groups of two, and ``h``, ``outer``, ``start``, ``len`` of the lines in larger groups.
 
-    Rows here are hashes and places; no text moves.
-    """
-    long = lines.where(F.length("line") >= least).select("h", "line")
-    keyed = _keyed(long, "line", distance, least, F.lit(0)).select("key", "h", "start", "len")
-    groups = materialise(_groups(keyed.select("key", "h")), "line-groups")
-    large = materialise(groups.where("many").select("key"), "line-large")
-    members = keyed.join(large, "key", "left_semi").select("h", F.col("key").alias("outer"), "start", "len").distinct()
-    return groups.where("not many").select("a", "b"), materialise(members, "line-members")
+def _classes(n: str, bands: tuple[tuple[int, int], ...]) -> tuple[Column, Column]:
+    """The size class of a line, and the class below if it holds sizes that may be near, else null."""
+    own = _size_class(F.col(n))
+    below = _size_class(own - 1)
+    return own, F.when(F.col(n) - _by_band(bands, below, F.lit) < own, below)
 
 
-#: Longs of a line's bitmap of character pairs.
-_LONGS = 4
+def _hashes(line: str) -> tuple[Column, Column]:
+    return F.xxhash64(line).alias("h"), F.xxhash64(F.lit(7), line).alias("h2")
+
+
+def _segment_keys(size: str, bands: tuple[tuple[int, int], ...]) -> Column:
+    """array<long> of the keys of a line in the class ``size``, empty below the first band.
+
+    ``wide`` is the line with four bytes for each of its ``n`` code points, so that a segment is found without a walk.
+    """
 
+    def keys(t: int) -> Column:
+        one = F.call_function("div", F.col(size), F.lit(t + 1)).cast("int")
+        out = []
+        for i in range(1, t + 2):
+            before, after = i - 1, t + 1 - i
+            start = one * before if before <= after else F.col("n") - one * (after + 1)
+            reach = min(before, after)
+            out += [F.xxhash64(F.substr("wide", 4 * (start + s) + 1, 4 * one), F.lit(i), F.col(size)) for s in range(-reach, reach + 1)]
+        return F.array(*out)
 
-def _bitmap(line: str) -> Column:
-    """array<long> with a bit for the hash of every two adjacent characters of the column ``_c``, the characters of ``line``."""
-    places = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(F.size("_c"), F.lit(1))), F.lit(1), F.greatest(F.size("_c") - 1, F.lit(0))), lambda i: F.pmod(F.xxhash64(F.get("_c", i), F.get("_c", i + 1)), F.lit(64 * _LONGS)))
-    return F.array(*[F.aggregate(F.filter(F.array_distinct(places), lambda x, k=k: F.floor(x / 64) == k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int")))) for k in range(_LONGS)])
+    return F.coalesce(_by_band(bands, F.col(size), keys), F.array().cast("array<bigint>"))
 
 
-def second_pass(members: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of lines in one larger group whose rests share a key; ``texts`` has ``h``, ``line``.
+def lines_of(docs: DataFrame, id_col: str, text_col: str, bands: tuple[tuple[int, int], ...]) -> DataFrame:
+    """``id``, ``doc``, ``line_no`` from 0, ``h``, ``h2``, ``keys`` of lines with more than white space.
 
-    Where more than two share that key too, only lines pair whose bitmaps of character pairs allow the
-    distance: an edit takes away two pairs and adds two at most, so 4 * distance bits may differ.
+    A line with keys in the class below has a second row for these, whose ``own`` is false.
     """
-    rows = members.join(texts, "h")
-    rest = F.concat(F.substr("line", F.lit(1), F.col("start")), F.substr("line", F.col("start") + F.col("len") + 1, F.length("line")))
-    rows = rows.select("h", "outer", rest.alias("rest"))
-    inner = materialise(_keyed(rows, "rest", distance, 1, F.col("outer")).select("key", "h").distinct(), "line-inner")
-    groups = materialise(_groups(inner), "line-inner-groups")
-    left = inner.join(groups.where("many").select("key"), "key", "left_semi")
-    maps = texts.join(left.select("h").distinct(), "h", "left_semi").withColumn("_c", F.split("line", ""))
-    left = materialise(left.join(maps.select("h", _bitmap("line").alias("m")), "h"), "line-crowded")
-    differ = reduce(Column.__add__, [F.bit_count(F.col("m")[k].bitwiseXOR(F.col("m2")[k])) for k in range(_LONGS)])
-    near = (F.col("a") < F.col("b")) & (differ <= 4 * distance)
-    right = left.select(F.col("key").alias("key2"), F.col("h").alias("b"), F.col("m").alias("m2"))
-    more = left.withColumnRenamed("h", "a").join(right, (F.col("key") == F.col("key2")) & near).select("a", "b")
-    return groups.where("not many").select("a", "b").unionByName(more)
-
-
-def within(a: Column, b: Column, distance: int) -> Column:
-    """Whether two arrays of characters are within the distance, by a banded bit-parallel automaton.
-
-    Bit d + distance of register k is set after j characters of b if its first j and a's first j + d
-    are within k edits. Needs lengths that differ by ``distance`` at most.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.explode(F.array(F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.xxhash64(text).alias("doc"), F.split(text, "\n").alias("lines")))).alias("d"))
+    rows = rows.select("d.id", "d.doc", F.posexplode("d.lines").alias("line_no", "line"))
+    rows = rows.where(F.col("line").rlike(r"[^ \t\r\f\x0B]"))
+    places = ["id", "doc", "line_no"]
+    if not bands:
+        return rows.select(*places, *_hashes("line"), F.lit(True).alias("own"), F.array().cast("array<bigint>").alias("keys"))
+    own, below = _classes("n", bands)
+    rows = rows.select(*places, *_hashes("line"), F.explode(F.array(F.struct(F.length("line").alias("n"), F.encode("line", "UTF-32").alias("wide")))).alias("c"))
+    # Generators, so that what they make is made once for a line and not once for a key.
+    rows = rows.select(*places, "h", "h2", "c.n", "c.wide")
+    rows = rows.select(*places, "h", "h2", "n", "wide", F.posexplode(F.when(below.isNull(), F.array(own)).otherwise(F.array(own, below))).alias("k", "size"))
+    # The lambda keeps this projection out of whole-stage code, where all keys would stand in one method too long for the JIT.
+    own_row = F.exists(F.array("k"), lambda k: k == 0)
+    return rows.select(*places, "h", "h2", own_row.alias("own"), _segment_keys("size", bands).alias("keys"))
+
+
+def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, bands: tuple[tuple[int, int], ...]) -> DataFrame:
+    """``h`` and ``row``, a struct of ``at``, ``n``, ``t`` (the distance of its band) and ``line``, of ``places`` (h, h2, at)."""
+    need = places.groupBy("at.id", "at.doc").agg(F.collect_set("at.line_no").alias("need"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.col(text_col).alias("text")).withColumn("doc", F.xxhash64("text")).join(need, ["id", "doc"])
+    rows = rows.select("id", "doc", "need", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("need", F.col("line_no")))
+    rows = rows.select(F.struct("id", "doc", "line_no").alias("at"), "line", *_hashes("line"))
+    rows = rows.dropDuplicates(["h", "h2"]).withColumn("n", F.length("line"))
+    return rows.select("h", F.struct("at", "n", _by_band(bands, F.col("n"), F.lit).alias("t"), "line").alias("row"))
+
+
+def may_be_near() -> Column:
+    """Whether all but t of the 4 (t + 1) chunks of the shorter line lie in the longer one, at most t places off; rows are ``s``, ``l``."""
+    a, b, t = F.col("s.line"), F.col("l.line"), F.col("s.t")
+    m = 4 * (t + 1)
+    one = F.greatest((F.col("s.n") / m).cast("int"), F.lit(1))
+
+    def spared(j: Column) -> Column:
+        start = one * j
+        there = F.substr(b, F.greatest(start - t, F.lit(0)) + 1, one + t + F.least(start, t))
+        return there.contains(F.substr(a, start + 1, one))
+
+    return (F.col("l.n") - F.col("s.n") <= t) & (F.size(F.filter(F.sequence(F.lit(0), m - 1), spared)) >= m - t)
+
+
+def within(a: Column, b: Column, most: int, distance: Column) -> Column:
+    """Whether two arrays of characters are within the distance, ``most`` at most, by a banded bit-parallel automaton.
+
+    Bit d + most of register k is set after j characters of b if its first j and a's first j + d
+    are within k edits. Needs lengths that differ by ``most`` at most.
     """
-    width = 2 * distance + 1
+    width = 2 * most + 1
     mask = (1 << width) - 1
-    names = [f"r{k}" for k in range(distance + 1)]
-    start = F.struct(*[F.lit(sum(1 << (d + distance) for d in range(k + 1))).alias(names[k]) for k in range(distance + 1)])
+    names = [f"r{k}" for k in range(most + 1)]
+    start = F.struct(*[F.lit(sum(1 << (d + most) for d in range(k + 1))).alias(names[k]) for k in range(most + 1)])
 
     def equal(c: Column, j: Column) -> Column:
         """The diagonals on which character j of b meets an equal one of a."""
-        return reduce(Column.bitwiseOR, [F.when(F.get(a, j + d) == c, F.lit(1 << (d + distance))).otherwise(F.lit(0)) for d in range(-distance, distance + 1)])
+        return reduce(Column.bitwiseOR, [F.when(F.get(a, j + d) == c, F.lit(1 << (d + most))).otherwise(F.lit(0)) for d in range(-most, most + 1)])
 
     def step(acc: Column, e: Column) -> Column:
         new: list[Column] = []
@@ -146,69 +165,175 @@ def within(a: Column, b: Column, distance: int) -> Column:
         return F.struct(*[x.alias(n) for x, n in zip(new, names, strict=True)])
 
     steps = F.transform(b, equal)
-    at_end = F.aggregate(steps, start, step, lambda acc: acc[names[-1]])
-    return F.call_function("shiftright", at_end, F.size(a) - F.size(b) + distance).bitwiseAND(F.lit(1)) == 1
-
-
-def _texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``places`` (h, h2, id, line_no) with their ``line``."""
-    need = materialise(places.groupBy("id").agg(F.collect_set("line_no").alias("need")), "line-need")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id"), F.col(text_col).alias("text")).join(need, "id")
-    rows = rows.select("id", "need", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("need", F.col("line_no")))
-    rows = rows.select("id", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"))
-    return rows.join(places, ["h", "h2", "id", "line_no"], "left_semi").dropDuplicates(["h", "h2"])
-
-
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, min_chars: int = 20) -> DataFrame:
-    """``id``, ``line_no``, ``h``, ``near``, ``of_id``, ``of_line``: every line that goes, and an earlier one that it repeats.
-
-    ``near`` is false if that one is the first equal line, else it is the first line within the distance. Null
-    ids stand before all others, as the least long. Rows of one id are one document: equal rows keep
-    or lose the same lines. Null and empty texts have no lines.
+    at_end = F.aggregate(steps, start, step, lambda acc: F.get(F.array(*[acc[n] for n in names]), distance))
+    return F.call_function("shiftright", at_end, F.size(a) - F.size(b) + most).bitwiseAND(F.lit(1)) == 1
+
+
+def linked(pairs: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
+    """``a``, ``b``: places of those pairs (``s`` and ``l``, rows of ``_texts``, the shorter first) that are linked."""
+    pairs = pairs.where(may_be_near()).withColumns({"x": F.col("s.line"), "y": F.col("l.line"), "m": F.col("s.n"), "k": F.col("l.n"), "p": F.lit(0), "q": F.lit(0)})
+    for size in _STEPS:
+        same = (F.col("p") + size <= F.col("m")) & (F.substr("x", F.col("p") + 1, F.lit(size)) == F.substr("y", F.col("p") + 1, F.lit(size)))
+        pairs = pairs.withColumn("p", F.col("p") + F.when(same, size).otherwise(0))
+    for size in _STEPS:
+        ends = [F.substr(c, F.col(k) - F.col("q") - size + 1, F.lit(size)) for c, k in (("x", "m"), ("y", "k"))]
+        pairs = pairs.withColumn("q", F.col("q") + F.when((F.col("p") + F.col("q") + size <= F.col("m")) & (ends[0] == ends[1]), size).otherwise(0))
+    inner = [F.substr(c, F.col("p") + 1, F.col(k) - F.col("p") - F.col("q")) for c, k in (("x", "m"), ("y", "k"))]
+    pairs = pairs.select(F.col("s.at").alias("a"), F.col("l.at").alias("b"), F.col("s.t").alias("t"), inner[0].alias("x"), inner[1].alias("y"))
+    # Out of a generator: a filter on split() itself would move into it and split for every character.
+    pairs = pairs.withColumn("c", F.explode(F.array(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y")))))
+    return pairs.where(within(F.col("c.x"), F.col("c.y"), bands[-1][1], F.col("t"))).select("a", "b")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``key`` as the rows ``s``, the shorter (then the earlier) line, and ``l``."""
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col(key).alias(side), F.col("row").alias(f"{side}_row")), side)
+    order = [F.struct(F.col(f"{c}.n"), F.col(f"{c}.at")) for c in ("a_row", "b_row")]
+    both = [F.struct(F.col(x).alias("s"), F.col(y).alias("l")) for x, y in (("a_row", "b_row"), ("b_row", "a_row"))]
+    # Out of a generator, so that the order is found once for a pair.
+    return pairs.select(F.explode(F.array(F.when(order[0] < order[1], both[0]).otherwise(both[1]))).alias("p")).select("p.s", "p.l")
+
+
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of each key's lines with its hub, the line whose keys have the most lines; ``members`` has ``key``, ``at``, ``times``."""
+    fame = members.groupBy("at").agg(F.sum("times").alias("fame"))
+    hubs = members.join(fame, "at").groupBy("key").agg(F.max(F.struct("fame", "at")).alias("hub"))
+    rows = members.join(hubs, "key").select("at", F.col("hub.at").alias("hub")).where("at <> hub")
+    return rows.select(F.least("at", "hub").alias("a"), F.greatest("at", "hub").alias("b")).distinct()
+
+
+def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``at``, ``label`` of the lines of those keys (``key``, ``at``) whose lines ``links`` don't join into one."""
+    labels = connected_components(links).withColumnRenamed("node", "at")
+    members = members.join(labels, "at", "left").select("key", "at", F.coalesce("root", "at").alias("label"))
+    members = materialise(members, "line-large")
+    open_keys = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return members.join(open_keys, "key", "left_semi").select("at", "label").distinct()
+
+
+#: Longs of a line's bitmap of character triples.
+_LONGS = 8
+
+
+def _bitmaps(lines: DataFrame) -> DataFrame:
+    """``at`` and ``m``, an array of ``_LONGS`` longs with a bit for the hash of every three adjacent characters."""
+    rows = lines.select("at", "n", F.encode("line", "UTF-32").alias("wide")).select("at", "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 3)).alias("i"))
+    rows = rows.select("at", F.pmod(F.xxhash64(F.substr("wide", 4 * F.col("i") + 1, F.lit(12))), F.lit(64 * _LONGS)).cast("int").alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x") % 64)
+    slots = [F.bit_or(F.when((F.col("x") / 64).cast("int") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(_LONGS)]
+    return rows.groupBy("at").agg(*slots).select("at", F.array(*[f"m{k}" for k in range(_LONGS)]).alias("m"))
+
+
+def _rare_links(lines: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
+    """Links between lines of different labels; ``lines`` has ``at``, ``label``, ``n``, ``line``, ``row``.
+
+    A shorter line is found by one of its t + 1 rarest chunks. Chunks of the first half are placed from the start, the others from the end.
+    """
+    own, below = _classes("n", bands)
+    rows = lines.select("at", "label", "n", F.encode("line", "UTF-32").alias("wide")).withColumn("size", F.explode(F.filter(F.array(own, below), lambda c: c.isNotNull())))
+    rows = rows.withColumn("t", _by_band(bands, F.col("size"), F.lit)).where("t is not null").withColumn("one", (F.col("size") / (4 * (F.col("t") + 1))).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), 4 * F.col("t") + 3)))
+    start = F.when(F.col("j") < 2 * (F.col("t") + 1), F.col("j") * F.col("one")).otherwise(F.col("n") - (4 * (F.col("t") + 1) - F.col("j")) * F.col("one"))
+    rows = rows.withColumn("start", start)
+
+    def key(of: Column) -> Column:
+        return F.xxhash64(F.substr("wide", 4 * of + 1, 4 * F.col("one")), F.col("j"), F.col("size"))
+
+    chunks = rows.where(F.col("size") == own).select("at", "label", "n", "t", "j", key(F.col("start")).alias("key"))
+    rare = F.row_number().over(Window.partitionBy("at").orderBy("times", "j"))
+    times = chunks.groupBy("key").agg(F.count("*").alias("times"))
+    index = chunks.join(times, "key").withColumn("rank", rare).where("rank <= t + 1").select("key", F.col("at").alias("s_at"))
+    index = materialise(index, "line-rare")
+    probes = rows.withColumn("off", F.explode(F.sequence(-F.col("t"), F.col("t")))).withColumn("from", F.col("start") + F.col("off"))
+    probes = probes.where((F.col("from") >= 0) & (F.col("from") + F.col("one") <= F.col("n"))).select(key(F.col("from")).alias("key"), F.col("at").alias("l_at"))
+    probes = probes.join(index.select("key").distinct(), "key", "left_semi").distinct()
+    maps = materialise(lines.select("at", "label", "n", "t").join(_bitmaps(lines), "at"), "line-bitmaps")
+    # A longer line has one of t + 1 lengths, so lines meet by chunk and length.
+    left = index.join(maps.withColumnRenamed("at", "s_at"), "s_at").select("key", "s_at", F.col("label").alias("s_label"), "t", F.explode(F.sequence("n", F.col("n") + F.col("t"))).alias("n"), *[F.col("m")[k].alias(f"s{k}") for k in range(_LONGS)])
+    right = probes.join(maps.withColumnRenamed("at", "l_at"), "l_at").select("key", "l_at", F.col("label").alias("l_label"), "n", *[F.col("m")[k].alias(f"l{k}") for k in range(_LONGS)])
+    # An edit takes away three triples and adds three at most.
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"l{k}"))) for k in range(_LONGS)])
+    on = [F.col("x.key") == F.col("y.key"), F.col("x.n") == F.col("y.n"), differ <= 6 * F.col("x.t"), F.col("s_label") != F.col("l_label")]
+    pairs = left.alias("x").join(right.alias("y"), reduce(Column.__and__, on))
+    pairs = pairs.select(F.least("s_at", "l_at").alias("a"), F.greatest("s_at", "l_at").alias("b")).distinct()
+    return linked(_with_texts(pairs, lines.select("at", "row"), "at"), bands)
+
+
+def candidates(keyed: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a``, ``b`` of lines that share a key, and ``key``, ``h``, ``times`` of the lines of keys that over ``SMALL`` share.
+
+    ``repeated`` has ``h``, ``n`` of the lines that occur more than once. Rows here are hashes; no text moves.
     """
-    if not 0 <= distance <= 15 or min_chars <= 2 * distance:
-        raise ValueError("distance must be from 0 to 15, and min_chars over twice as much")
-    lines = lines_of(docs, id_col, text_col)
-    light = materialise(lines.select("id", "line_no", "h", "h2"), "lines")
-    classes = light.groupBy("h", "h2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"))
-    classes = materialise(classes.select("h", "h2", "first.id", "first.line_no", "n"), "line-classes")
-    marks = classes.where("n > 1").select("h", "h2", F.lit(False).alias("near"), F.col("id").alias("of_id"), F.col("line_no").alias("of_line"), F.col("id").alias("first_id"), F.col("line_no").alias("first_line"))
-    if distance:
-        pairs, members = first_pass(lines, distance, min_chars)
-        some = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).unionByName(members.select("h")).distinct()
-        places = materialise(classes.join(some, "h", "left_semi").select("h", "h2", "id", "line_no"), "line-places")
-        texts = materialise(_texts(docs, places, id_col, text_col), "line-texts")
-        # Lines of one 64-bit hash and different texts, if any, are all tried.
-        pairs = pairs.unionByName(second_pass(members, texts.select("h", "line"), distance)).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("h").alias(side), F.struct("id", "line_no", "h", "h2").alias(f"{side}_at"), F.col("line").alias(f"{side}_line")), side)
-        pairs = pairs.where(F.abs(F.length("a_line") - F.length("b_line")) <= distance)
-        # Out of a generator: a filter on split() itself would move into it and split for every character.
-        pairs = pairs.withColumn("c", F.explode(F.array(F.struct(F.split("a_line", "").alias("a"), F.split("b_line", "").alias("b")))))
-        pairs = pairs.where(within(F.col("c.a"), F.col("c.b"), distance))
-        pairs = pairs.select(F.greatest("a_at", "b_at").alias("late"), F.least("a_at", "b_at").alias("early"))
-        near = pairs.groupBy(F.col("late.h").alias("h"), F.col("late.h2").alias("h2")).agg(F.min("early").alias("e"))
-        near = near.select("h", "h2", F.lit(True).alias("near"), F.col("e.id").alias("of_id"), F.col("e.line_no").alias("of_line"), F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("int").alias("first_line"))
-        both = marks.unionByName(near)
-        marks = both.groupBy("h", "h2").agg(F.bool_or("near").alias("any_near"), F.max("first_id").alias("first_id"), F.max("first_line").alias("first_line"), F.min(F.when(F.col("near"), F.struct("of_id", "of_line"))).alias("e"))
+    keyed = keyed.select(F.explode("keys").alias("key"), "h")
+    groups = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("times")).where("a <> b")
+    # A group has two lines and no more if their occurrences are all that it has.
+    for side in ("a", "b"):
+        groups = groups.join(repeated.select(F.col("h").alias(side), F.col("n").alias(f"n_{side}")), side, "left")
+    two = F.col("times") == F.coalesce("n_a", F.lit(1)) + F.coalesce("n_b", F.lit(1))
+    groups = materialise(groups.select("key", "a", "b", two.alias("two")), "line-groups")
+    more = materialise(groups.where("not two").select("key"), "line-more")
+    members = keyed.join(more, "key", "left_semi").distinct()
+    times = members.groupBy("key").agg(F.count("*").alias("times"))
+    members = materialise(members.join(times, "key"), "line-members")
+    small = members.where(F.col("times") <= SMALL).groupBy("key").agg(F.collect_set("h").alias("s"))
+    small = small.select(F.explode(F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: x < y), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    pairs = materialise(groups.where("two").select("a", "b").unionByName(small).distinct(), "line-pairs")
+    return pairs, members.where(F.col("times") > SMALL)
+
+
+def near_links(pairs: DataFrame, large: DataFrame, texts: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
+    """``a``, ``b``: places of linked lines, whose components are those of all links."""
+    large = large.join(texts.select("h", "row.at"), "h")
+    # Lines of one 64-bit hash and different texts, if any, are all tried.
+    links = linked(_with_texts(pairs, texts, "h").unionByName(_with_texts(_hub_pairs(large), texts, "row.at")), bands)
+    links = materialise(links.distinct(), "line-links")
+    rest = materialise(_unsettled(large.select("key", "at"), links).join(texts.select("row.at", "row.n", "row.t", "row.line", "row"), "at"), "line-rest")
+    if rest.isEmpty():
+        return links
+    return links.unionByName(materialise(_rare_links(rest, bands), "line-rare-links"))
+
+
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
+    """``id``, ``doc``, ``line_no``, ``h``, ``near``, ``of_id``, ``of_line``: every line that goes, and the first line of its class.
+
+    ``near`` is false if an equal line occurs earlier. ``doc`` is the text's xxhash64. Null ids stand
+    before all others, as the least long. Rows equal in id and text are one document: they keep
+    or lose the same lines. Null and empty texts have no lines. Without ``bands`` equal lines alone are linked.
+    """
+    _check(bands)
+    lines = materialise(lines_of(docs, id_col, text_col, bands), "lines", dictionary=False)
+    keyed, lines = lines.select("keys", "h"), lines.where("own").drop("keys")
+    repeated = materialise(lines.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1"), "line-repeated")
+    some = repeated.select("h")
+    if bands:
+        pairs, large = candidates(keyed, repeated.groupBy("h").agg(F.sum("n").alias("n")))
+        near = materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(large.select("h")).distinct(), "line-near")
+        some = materialise(some.unionByName(near).distinct(), "line-some")
+    classes = lines.join(some, "h", "left_semi").groupBy("h", "h2").agg(F.min(F.struct("id", "doc", "line_no")).alias("at"), F.count("*").alias("n"))
+    classes = marks = materialise(classes, "line-classes")
+    if bands:
+        texts = materialise(_texts(docs, classes.join(near, "h", "left_semi"), id_col, text_col, bands), "line-texts")
+        found = connected_components(near_links(pairs, large, texts, bands))
+        marks = marks.join(found.withColumnRenamed("node", "at"), "at", "left").where("n > 1 or root <> at")
+        marks = marks.withColumn("root", F.coalesce("root", "at"))
     else:
-        marks = marks.withColumns({"any_near": F.lit(False), "e": F.struct("of_id", "of_line")}).select("h", "h2", "any_near", "first_id", "first_line", "e")
-    marks = materialise(marks, "line-marks")
-    out = light.join(marks, ["h", "h2"])
-    is_first = F.col("first_id").isNull() | ((F.col("id") == F.col("first_id")) & (F.col("line_no") == F.col("first_line")))
-    out = out.where(F.col("any_near") | ~is_first)
-    return out.select("id", "line_no", "h", is_first.alias("near"), F.when(is_first, F.col("e.of_id")).otherwise(F.col("first_id")).alias("of_id"), F.when(is_first, F.col("e.of_line")).otherwise(F.col("first_line")).alias("of_line"))
+        marks = marks.where("n > 1").withColumn("root", F.col("at"))
+    marks = materialise(marks.drop("n"), "line-marks")
+    out = lines.select("id", "doc", "line_no", "h", "h2").join(marks, ["h", "h2"])
+    own = F.struct("id", "doc", "line_no")
+    return out.where(own != F.col("root")).select("id", "doc", "line_no", "h", (own == F.col("at")).alias("near"), F.col("root.id").alias("of_id"), F.col("root.line_no").alias("of_line"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, min_chars: int = 20, drop_emptied: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: tuple[tuple[int, int], ...] = BANDS, drop_emptied: bool = True) -> DataFrame:
     """``docs`` without the lines of ``repeats``; other columns pass through, ``n_chars`` is counted anew if there.
 
     A document that had lines and is left with blank ones alone repeats others whole; it goes unless
     ``drop_emptied`` is false. A document without lines stays as it is.
     """
-    gone = repeats(docs, id_col=id_col, text_col=text_col, distance=distance, min_chars=min_chars)
-    gone = gone.groupBy(F.col("id").alias("_mr_id")).agg(F.collect_set(F.struct("line_no", "h")).alias("_mr_gone"))
-    rows = docs.withColumn("_mr_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))).join(gone, "_mr_id", "left")
+    gone = repeats(docs, id_col=id_col, text_col=text_col, bands=bands)
+    gone = gone.groupBy(F.col("id").alias("_mr_id"), F.col("doc").alias("_mr_doc")).agg(F.collect_set(F.struct("line_no", "h")).alias("_mr_gone"))
+    rows = docs.withColumns({"_mr_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), "_mr_doc": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}).join(gone, ["_mr_id", "_mr_doc"], "left")
     kept = F.filter(F.transform(F.split(text_col, "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: ~F.array_contains("_mr_gone", F.struct(x["i"].alias("line_no"), F.xxhash64(x["s"]).alias("h"))))
     text = F.when(F.col("_mr_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda x: x["s"]), "\n"))
     rows = rows.withColumn("_mr_new", text)
@@ -219,16 +344,17 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", di
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Of every document: its lines, those that go for an equal and for a near one, and whose lines they repeat."""
+    """Of every document: its lines, those that go as equal and as near ones, and the documents of their classes' first lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = repeats(docs).groupBy("id").agg(
+    gone = repeats(docs).groupBy("id", "doc").agg(
         F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("n_equal"),
         F.sum(F.when(F.col("near"), 1).otherwise(0)).alias("n_near"),
-        F.sort_array(F.collect_list("line_no")).alias("lines"),
+        F.sort_array(F.collect_set("line_no")).alias("lines"),
         F.sort_array(F.collect_set("of_id")).alias("repeats_of"),
     )
-    rows = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    rows = rows.join(gone, F.coalesce("doc_id", F.lit(_NONE)) == F.col("id"), "left")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("doc"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(_NONE))).join(gone, ["id", "doc"], "left")
     return rows.select(
         "doc_id",
         "n_lines",
@@ -239,30 +365,35 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     )
 
 
-LINE_SQL = r"""
-WITH l AS (
+#: The tables' letters beyond ASCII, as one byte each: DuckDB counts edits in bytes.
+_LETTERS = "éóèñçüêäößíÉÈÑÓÇÄÊÜÖÍ"
+
+# Sizes here fall into classes by band alone, with the segments of the shorter line found anywhere within the distance.
+LINE_SQL = rf"""
+WITH RECURSIVE l AS (
   SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, string_split(text, chr(10))[i] AS line
   FROM documents, range(1, len(string_split(coalesce(text, ''), chr(10))) + 1) r(i)),
 f AS (SELECT *, length(line) AS n FROM l WHERE regexp_matches(line, '[^ \t\r\f\v]')),
 c AS (SELECT line, n, min(struct_pack(d := doc_id, k := line_no)) AS first FROM f GROUP BY line, n),
-s AS (SELECT * FROM c WHERE n >= 20),
--- Within two edits, one of three parts of the shorter line is in the longer one, shifted by two places at most.
-ak AS (SELECT line, first, n AS l, i, CASE i WHEN 0 THEN line[:n // 3] WHEN 1 THEN line[n // 3 + 1:2 * (n // 3)] ELSE line[2 * (n // 3) + 1:] END AS part FROM s, range(0, 3) t(i)),
-bk AS (
-  SELECT line, first, n - d AS l, i, substr(line, i * ((n - d) // 3) + 1 + x, CASE i WHEN 2 THEN n - d - 2 * ((n - d) // 3) ELSE (n - d) // 3 END) AS part
-  FROM s, range(0, 3) t(i), range(0, 3) u(d), range(-2, 3) v(x) WHERE i * ((n - d) // 3) + 1 + x > 0),
-k AS (SELECT DISTINCT a.line AS la, b.line AS lb, a.first AS fa, b.first AS fb FROM ak a JOIN bk b USING (l, i, part) WHERE a.line <> b.line),
-p AS (SELECT * FROM k WHERE levenshtein(la, lb) <= 2),
-e AS (SELECT CASE WHEN fa > fb THEN la ELSE lb END AS line, least(fa, fb) AS early FROM p),
-m AS (SELECT line, min(early) AS early FROM e GROUP BY line),
+s AS (
+  SELECT translate(line, '{_LETTERS}', '{"".join(map(chr, [*range(1, 9), *range(14, 27)]))}') AS line, first, n,
+    CASE WHEN n < 20 THEN 1 ELSE 2 END AS t FROM c WHERE n >= 10),
+-- Within t edits, one of t + 1 parts of the shorter line is in the longer one, shifted by t places at most.
+ak AS (SELECT line, first, n AS l, i, substr(line, i * (n // (t + 1)) + 1, n // (t + 1)) AS part FROM s, range(0, 4) g(i) WHERE i <= t),
+b AS (SELECT line, first, n - d AS l, CASE WHEN n - d < 20 THEN 1 ELSE 2 END AS t FROM s, range(0, 4) u(d) WHERE n - d >= 10),
+bk AS (SELECT line, first, l, i, substr(line, i * (l // (t + 1)) + 1 + x, l // (t + 1)) AS part FROM b, range(0, 4) g(i), range(-3, 4) v(x) WHERE i <= t AND abs(x) <= t AND length(line) - l <= t AND i * (l // (t + 1)) + x >= 0),
+k AS (SELECT DISTINCT a.line AS la, b.line AS lb, a.first AS fa, b.first AS fb, a.l FROM ak a JOIN bk b USING (l, i, part) WHERE a.line <> b.line),
+p AS (SELECT fa, fb FROM k WHERE levenshtein(la, lb) <= CASE WHEN l < 20 THEN 1 ELSE 2 END),
+e AS (SELECT fa AS u, fb AS v FROM p UNION SELECT fb, fa FROM p),
+w AS (SELECT u, u AS root FROM (SELECT DISTINCT u FROM e) UNION SELECT e.v, w.root FROM w JOIN e ON w.u = e.u WHERE w.root < e.v),
+m AS (SELECT u AS first, min(root) AS root FROM w GROUP BY u),
 g AS (
-  SELECT f.doc_id, f.line_no, (c.first.d = f.doc_id AND c.first.k = f.line_no) AS is_first, c.first.d AS d, m.early.d AS nd
-  FROM f JOIN c USING (line) LEFT JOIN m USING (line)
-  WHERE NOT (c.first.d = f.doc_id AND c.first.k = f.line_no) OR m.line IS NOT NULL),
+  SELECT f.doc_id, f.line_no, (c.first.d = f.doc_id AND c.first.k = f.line_no) AS is_first, coalesce(m.root, c.first).d AS d
+  FROM f JOIN c USING (line) LEFT JOIN m ON m.first = c.first
+  WHERE NOT (coalesce(m.root, c.first).d = f.doc_id AND coalesce(m.root, c.first).k = f.line_no)),
 o AS (
   SELECT doc_id, sum(CASE WHEN is_first THEN 0 ELSE 1 END) AS n_equal, sum(CASE WHEN is_first THEN 1 ELSE 0 END) AS n_near,
-    string_agg(line_no, ',' ORDER BY line_no) AS gone_lines,
-    array_to_string(list_sort(list_distinct(list(CASE WHEN is_first THEN nd ELSE d END))), ',') AS repeats_of
+    string_agg(line_no, ',' ORDER BY line_no) AS gone_lines, array_to_string(list_sort(list_distinct(list(d))), ',') AS repeats_of
   FROM g GROUP BY doc_id)
 SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
   coalesce(gone_lines, '') AS gone_lines, coalesce(repeats_of, '') AS repeats_of

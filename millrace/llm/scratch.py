@@ -27,15 +27,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialise(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; columns of hashes need no ``dictionary``.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not all earlier work, and a
     table that is used twice is computed once.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 import pytest
 from odd_rows import ROWS
@@ -90,48 +91,73 @@ def edits(a, b):
     return row[-1]
 
 
-def gone_lines(rows, distance, least):
-    """(id, line number) of lines that go, for unique ids."""
-    lines = sorted((i, k, s) for i, t in rows for k, s in enumerate((t or "").split("\n")) if s.strip(" \t\r\f\x0b"))
-    first = {}
-    for i, k, s in lines:
-        first.setdefault(s, (i, k))
-    out = {}
-    for i, k, s in lines:
-        if first[s] != (i, k):
-            out[i, k] = False
-        else:
-            near = [p for x, p in first.items() if p < (i, k) and len(s) >= least and len(x) >= least and abs(len(x) - len(s)) <= distance and edits(x, s) <= distance]
-            if near:
-                out[i, k] = True
-    for p, near in list(out.items()):
-        out[p] = near or any(q < first[s] and len(s) >= least and len(x) >= least and edits(x, s) <= distance for (i, k, s) in lines if (i, k) == p for x, q in first.items() if x != s) and first[s_of(lines, p)] == p
-    return out
+def gone_lines(rows, bands):
+    """(id, line_no) of lines that go: whether as a near one, and the first line of the class."""
+    places, first = [], {}
+    for i, text in sorted(rows):
+        for k, s in enumerate(text.split("\n")):
+            if s.strip(" \t\r\f\v"):
+                places.append((i, k, s))
+                first.setdefault(s, (i, k))
+    root = dict(zip(first, first, strict=True))
 
+    def find(s):
+        while root[s] != s:
+            s = root[s]
+        return s
 
-def s_of(lines, p):
-    return next(s for i, k, s in lines if (i, k) == p)
+    for a, b in combinations(first, 2):
+        t = max((t for least, t in bands if least <= min(len(a), len(b))), default=0)
+        if t and abs(len(a) - len(b)) <= t and edits(a, b) <= t:
+            x, y = sorted((find(a), find(b)), key=first.get)
+            root[y] = x
+    return {(i, k): ((i, k) == first[s], *first[find(s)]) for i, k, s in places if first[find(s)] != (i, k)}
 
 
-@pytest.mark.parametrize("distance", [0, 1, 2, 3])
-def test_line_dedup_agrees_with_brute_force(spark, distance):
+def got_lines(spark, rows, **how):
     from millrace.llm.line_dedup import repeats
 
-    rng = random.Random(distance)
-    base = ["".join(rng.choices("abcde é", k=rng.randint(10, 40))) for _ in range(25)]
+    found = repeats(spark.createDataFrame(rows, "doc_id long, text string"), **how)
+    return {(r["id"], r["line_no"]): (r["near"], r["of_id"], r["of_line"]) for r in found.collect()}
+
+
+@pytest.mark.parametrize(("bands", "bases"), [((), 25), (((10, 1), (20, 2)), 25), (((10, 1), (20, 2)), 3), (((10, 1), (20, 2), (96, 3)), 3), (((20, 4),), 10)])
+def test_line_dedup_agrees_with_brute_force(spark, bands, bases):
+    """Few bases make groups of over SMALL lines, which go through hubs and rare chunks."""
+    rng = random.Random(bases)
+    base = ["".join(rng.choices("abcde é", k=rng.choice([9, 10, 11, 19, 20, 21, 23, 24, 25, 40, 95, 96, 98]))) for _ in range(bases)]
     rows = []
-    for i in range(40):
+    for i in range(60):
         lines = []
         for _ in range(rng.randint(0, 5)):
             s = list(rng.choice(base))
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, 4)):
                 p = rng.randrange(len(s))
-                s[p : p + rng.randint(0, 1)] = rng.choices("abcz", k=rng.randint(0, 1))
+                s[p : p + rng.randint(0, 1)] = rng.choices("abcz😀", k=rng.randint(0, 1))
             lines.append("".join(s))
         rows.append((i, "\n".join(lines)))
-    got = {(r["id"], r["line_no"]): r["near"] for r in repeats(spark.createDataFrame(rows, "doc_id long, text string"), distance=distance, min_chars=12).collect()}
-    assert got == gone_lines(rows, distance, 12)
-    assert len(got) > 10
+    got = got_lines(spark, rows, bands=bands)
+    assert got == gone_lines(rows, bands)
+    assert got
+
+
+def test_line_dedup_near_lines_of_any_length(spark):
+    rows = [(1, "color of the sky"), (2, "colour of the sky"), (3, "short one"), (4, "shore one"), (5, "color of the skies")]
+    assert got_lines(spark, rows) == {(2, 0): (True, 1, 0)}
+
+
+def test_line_dedup_many_near_copies_pair_with_a_hub(spark, monkeypatch):
+    """Copies of one line make about a pair each, not all pairs."""
+    from millrace.llm import line_dedup
+
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefgh ", k=60))
+    rows = [(0, base)] + [(i, base[:p] + rng.choice("xyzw") + rng.choice("xyzw") + base[p + 2 :]) for i, p in enumerate(rng.choices(range(58), k=90), 1)]
+    made = []
+    linked = line_dedup.linked
+    monkeypatch.setattr(line_dedup, "linked", lambda pairs, bands: (made.append(pairs.count()), linked(pairs, bands))[1])
+    assert got_lines(spark, rows) == gone_lines(rows, line_dedup.BANDS)
+    assert sum(made) < 10 * len(rows)
 
 
 def test_banded_automaton(spark):
@@ -149,17 +175,15 @@ def test_banded_automaton(spark):
             pairs.append((a, "".join(b)))
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.split("a", "").alias("x"), F.split("b", "").alias("y"))
     df = df.select("a", "b", F.when(F.col("a") == "", F.array().cast("array<string>")).otherwise(F.col("x")).alias("x"), F.when(F.col("b") == "", F.array().cast("array<string>")).otherwise(F.col("y")).alias("y"))
-    for r in df.select("a", "b", within(F.col("x"), F.col("y"), 2).alias("ok")).collect():
+    for r in df.select("a", "b", within(F.col("x"), F.col("y"), 2, F.lit(2)).alias("ok")).collect():
         assert r["ok"] == (edits(r["a"], r["b"]) <= 2), (r["a"], r["b"])
 
 
 def test_line_dedup_many_share_a_segment(spark):
-    """Groups of more than two take the second partition."""
-    from millrace.llm.line_dedup import repeats
+    from millrace.llm.line_dedup import BANDS
 
     rows = [(i, f"The same long beginning of very many lines, then number {i * 7919 % 100_000:05d} and the same end") for i in range(60)]
-    got = {(r["id"], r["line_no"]): r["near"] for r in repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == gone_lines(rows, 2, 20)
+    assert got_lines(spark, rows) == gone_lines(rows, BANDS)
 
 
 def test_line_dedup_odd_rows(spark, odd, none):
