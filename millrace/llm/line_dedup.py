@@ -195,11 +195,14 @@ def _with_texts(pairs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     return pairs.select(F.explode(F.array(F.when(order[0] < order[1], both[0]).otherwise(both[1]))).alias("p")).select("p.s", "p.l")
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of each key's lines with its hub, the line whose keys have the most lines; ``members`` has ``key``, ``at``, ``times``."""
+def _hub_pairs(members: DataFrame, most: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of each key's lines with its hub, the line whose keys have the most lines, if their sizes differ by ``most`` or less.
+
+    ``members`` has ``key``, ``at``, ``n``, ``times``.
+    """
     fame = members.groupBy("at").agg(F.sum("times").alias("fame"))
-    hubs = members.join(fame, "at").groupBy("key").agg(F.max(F.struct("fame", "at")).alias("hub"))
-    rows = members.join(hubs, "key").select("at", F.col("hub.at").alias("hub")).where("at <> hub")
+    hubs = members.join(fame, "at").groupBy("key").agg(F.max(F.struct("fame", "at", "n")).alias("hub"))
+    rows = members.join(hubs, "key").where(F.abs(F.col("n") - F.col("hub.n")) <= most).select("at", F.col("hub.at").alias("hub")).where("at <> hub")
     return rows.select(F.least("at", "hub").alias("a"), F.greatest("at", "hub").alias("b")).distinct()
 
 
@@ -213,7 +216,7 @@ def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 #: Longs of a line's bitmap of character triples.
-_LONGS = 8
+_LONGS = 32
 
 
 def _bitmaps(lines: DataFrame) -> DataFrame:
@@ -284,9 +287,9 @@ def candidates(keyed: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFr
 
 def near_links(pairs: DataFrame, large: DataFrame, texts: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
     """``a``, ``b``: places of linked lines, whose components are those of all links."""
-    large = large.join(texts.select("h", "row.at"), "h")
+    large = large.join(texts.select("h", "row.at", "row.n"), "h")
     # Lines of one 64-bit hash and different texts, if any, are all tried.
-    links = linked(_with_texts(pairs, texts, "h").unionByName(_with_texts(_hub_pairs(large), texts, "row.at")), bands)
+    links = linked(_with_texts(pairs, texts, "h").unionByName(_with_texts(_hub_pairs(large, bands[-1][1]), texts, "row.at")), bands)
     links = materialise(links.distinct(), "line-links")
     rest = materialise(_unsettled(large.select("key", "at"), links).join(texts.select("row.at", "row.n", "row.t", "row.line", "row"), "at"), "line-rest")
     if rest.isEmpty():
