@@ -5,9 +5,10 @@ is encoded apart. The library's merge list is made from the ranks: each split of
 tokens is a merge, in the order of the token's rank, which is the order in which adjacent parts
 join when the lowest rank joins first.
 
-For the usual pattern, text goes to the library by words with the space before them, and their runs of
-letters and signs, and a worker remembers their ids: splitting before a space between two visible
-characters never parts a match. Offsets, and other patterns, take whole texts.
+For the usual pattern, texts are cut before each space between two visible characters, which never parts
+a match. Each distinct word of a group of texts goes to the library once, many words in one call, and a worker
+remembers the ids of up to ``_REMEMBERED`` words; a text's ids are gathered from its words'. Offsets, and
+other patterns, take whole texts.
 
 Bytes stand for characters inside the library; decoding goes through the reverse table to bytes
 first, so a character whose bytes are split over tokens comes back whole.
@@ -21,28 +22,25 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The library holds about 200 bytes for a token, so texts go to it in groups of this many characters.
 _GROUP = 1 << 18
-#: Ids of this many characters' worth of words are remembered by a worker; beyond it, it starts anew.
-_REMEMBERED = 9_000_000
-#: Fixed: the pattern for which words and their parts are known to be matches; for others, texts go whole.
+#: Texts are cut into words in groups of this many characters.
+_WORDS_GROUP = 1 << 22
+#: A worker remembers the ids of this many words of up to this many characters; beyond it, it starts anew.
+_REMEMBERED, _LONGEST = 600_000, 64
+#: Fixed: the pattern for which words are known to be whole matches; for others, texts go whole.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space between characters that aren't white space: no match reaches over the place before it.
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _CLOSE = re.compile(r"\s \S| \s")
-#: Words of Latin letters, ASCII signs but the apostrophe, and single line feeds between: their matches are
-#: runs of letters, runs of signs, and the line feeds, so that much alone need be known of a new word.
-_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
-_SIMPLE = re.compile(rf" ?(?:[{_LETTERS}]++|[{_SIGNS}]++|(?<=\S)\n(?=\S))++")
-_PART = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n")
 
 
 def byte_characters() -> list[str]:
@@ -77,54 +75,84 @@ class Codec:
         self.at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
         self.known = np.array([bool(t) for t in tokens])
         self.decimal = [str(i) for i in range(len(tokens))]
-        self.ids = list(range(len(tokens)))  # one object for each id, whatever remembers it
-        self.spaced: dict[str, tuple[int, ...]] = {}  # by word, ids of the word with a space before it
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.seen_size = 0
+        self._forget()
         self.by_word = pattern == _PATTERN
 
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}  # by word
+        self.kept = np.zeros(0, np.int32)  # ids of the words with a space before them, one after another
+        self.ends = np.zeros(0, np.int64)  # of each word in ``kept``
+
     def encode(self, texts: list[str | None], offsets: bool = False) -> Iterator[tuple[list[int], list[tuple[int, int]] | None]]:
         """Ids of each text, and if asked for the characters [from, to) that each id covers."""
-        i = 0
-        while i < len(texts):
-            group, size = [], 0
-            while i < len(texts) and (not group or size < _GROUP):
-                group.append(texts[i] or "")
-                size += len(group[-1])
-                i += 1
-            if offsets:
+        if offsets:
+            for group in _groups(texts, _GROUP):
                 for e in self.tokenizer.encode_batch(group, add_special_tokens=False):
                     yield e.ids, e.offsets
-            elif self.by_word:
-                yield from ((ids, None) for ids in self._by_word(group))
-            else:
-                yield from ((e.ids, None) for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False))
-
-    def _by_word(self, texts: list[str]) -> Iterator[list[int]]:
+        else:
+            yield from ((ids.tolist(), None) for ids in self.arrays(texts))
+
+    def arrays(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text as int32; null counts as empty."""
+        if not self.by_word:
+            yield from self._whole(texts)
+            return
+        for group in _groups(texts, _WORDS_GROUP):
+            yield from self._by_word(group)
+
+    def _whole(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for group in _groups(texts, _GROUP):
+            for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False):
+                yield np.array(e.ids, np.int32)
+
+    def _remember(self, words: list[str]) -> None:
+        """Learn the ids of new words, each with a space before it, from joined text."""
+        for group in _groups(words, _GROUP):
+            joined = " " + " ".join(group)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+            reached = np.cumsum(self.at[ids + 1] - self.at[ids])
+            sizes = np.cumsum([len(w.encode()) + 1 for w in group])
+            last = np.searchsorted(reached, sizes)
+            if not np.array_equal(reached[last], sizes):
+                raise ValueError("a token reaches over a word's end")
+            self.slots.update(zip(group, range(len(self.slots), len(self.slots) + len(group)), strict=True))
+            self.ends = np.concatenate([self.ends, len(self.kept) + last + 1])
+            self.kept = np.concatenate([self.kept, ids])
+
+    def _by_word(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids by way of the ids of each text's words, each but the first with the space before it."""
-        if self.seen_size > _REMEMBERED:
-            self.spaced, self.parts, self.seen_size = {}, {}, 0
-        split, firsts, new = [], [], set()
-        for t in texts:
-            words = _APART.split(t) if _CLOSE.search(t) or t[:1] == " " else t.split(" ")
-            firsts.append(words[0])
-            words = words[1:]
-            got = list(map(self.spaced.get, words))
-            if None in got:
-                new.update([w for w, ids in zip(words, got, strict=True) if ids is None])
-                got = None
-            split.append((words, got))
-        made = {w: _PART.findall(w) if _SIMPLE.fullmatch(w) else [w] if w else [] for w in [*firsts, *(" " + w for w in new)]}
-        todo = list({p for own in made.values() for p in own}.difference(self.parts))
-        for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            self.parts[p] = tuple(map(self.ids.__getitem__, e.ids))
-            self.seen_size += len(p)
-        ids = {w: tuple(chain.from_iterable(map(self.parts.__getitem__, own))) for w, own in made.items()}
-        for w in new:
-            self.spaced[w] = ids[" " + w]
-            self.seen_size += len(w)
-        for first, (words, got) in zip(firsts, split, strict=True):
-            yield list(chain(ids[first], chain.from_iterable(got or map(self.spaced.__getitem__, words))))
+        if len(self.slots) > _REMEMBERED:
+            self._forget()
+        close = [t[:1] == " " or _CLOSE.search(t) is not None for t in texts]
+        plain = pc.split_pattern(pa.array([t for t, c in zip(texts, close, strict=True) if not c], pa.large_string()), " ")
+        other = pa.array([_APART.split(t) for t, c in zip(texts, close, strict=True) if c], plain.type)
+        place = np.empty(len(texts), np.int64)
+        place[np.argsort(close, kind="stable")] = np.arange(len(texts))
+        lists = pa.concat_arrays([plain, other])
+        words, at = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        later = np.ones(len(words), bool)
+        later[at[:-1]] = False
+        coded = words.filter(pa.array(later)).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        # Words that a space after them might change, and long ones, go apart, as the first ones do.
+        apart = {w for w in distinct if not w or len(w) > _LONGEST or w[-1].isspace()}
+        self._remember([w for w in distinct if w not in self.slots and w not in apart])
+        alone = words.take(pa.array(at[:-1])).to_pylist()
+        pieces = list(dict.fromkeys([*alone, *(" " + w for w in apart)]))
+        number = {w: i for i, w in enumerate(pieces, len(self.slots))}
+        slots = np.array([number[" " + w] if w in apart else self.slots[w] for w in distinct], np.int64)
+        of = np.empty(len(words), np.int64)
+        of[later] = slots[coded.indices.to_numpy()]
+        of[at[:-1]] = [number[w] for w in alone]
+        own = list(self._whole(pieces))
+        ids = np.concatenate([self.kept, *own])
+        ends = np.concatenate([self.ends, len(self.kept) + np.cumsum([len(x) for x in own], dtype=np.int64)])
+        sizes = np.diff(ends, prepend=0)[of]
+        reached = np.cumsum(sizes)
+        out = ids[np.arange(reached[-1]) + np.repeat(ends[of] - reached, sizes)]
+        bounds = np.concatenate([[0], reached])[at]
+        for i in place:
+            yield out[bounds[i] : bounds[i + 1]]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids. Null or unknown ids raise ValueError."""
@@ -137,6 +165,19 @@ class Codec:
         return self.table[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)].tobytes()
 
 
+def _groups(texts: list[str | None], size: int) -> Iterator[list[str]]:
+    """Texts in their order, null as empty, in groups that end when they reach ``size`` characters."""
+    group, held = [], 0
+    for t in texts:
+        group.append(t or "")
+        held += len(group[-1])
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
@@ -168,13 +209,18 @@ def encode(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", of
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(column: pa.Array) -> list[pa.Array]:
-        both = list(codec(path, pattern).encode(column.to_pylist(), offsets))
-        sizes = [len(ids) for ids, _ in both]
-        flat = np.fromiter((i for ids, _ in both for i in ids), np.int32, sum(sizes))
+        c, spans = codec(path, pattern), []
+        if offsets:
+            both = list(c.encode(column.to_pylist(), True))
+            every, spans = [np.array(ids, np.int32) for ids, _ in both], [own for _, own in both]
+        else:
+            every = list(c.arrays(column.to_pylist()))
+        sizes = [len(ids) for ids in every]
+        flat = np.concatenate([*every, np.zeros(0, np.int32)])
         at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         out = [pa.ListArray.from_arrays(at, pa.array(flat)), pa.array(sizes, pa.int64())]
         if offsets:
-            out.append(pa.array([[{"start": a, "end": b} for a, b in spans] for _, spans in both], kind))
+            out.append(pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], kind))
         return out
 
     return _map(df, fields + [T.StructField("token_spans", span)] * offsets, text_col, run)
@@ -205,7 +251,7 @@ def encode_checked(df: DataFrame, *, path: str, pattern: str, text_col: str = "t
         c = codec(path, pattern)
         for b in it:
             texts = b.column(names.index(text_col)).to_pylist()
-            ids = [np.array(x, np.int32) for x, _ in c.encode(texts)]
+            ids = list(c.arrays(texts))
             same = [c.decode(x.astype(np.int64)) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]
             sizes = [len(x) for x in ids]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
@@ -225,10 +271,10 @@ def digests(df: DataFrame, *, path: str, pattern: str, text_col: str = "text") -
         c = codec(path, pattern)
         for b in it:
             n, ids_hex, bytes_hex = [], [], []
-            for ids, _ in c.encode(b.column(names.index(text_col)).to_pylist()):
+            for ids in c.arrays(b.column(names.index(text_col)).to_pylist()):
                 n.append(len(ids))
-                ids_hex.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
-                bytes_hex.append(hashlib.sha256(c.decode(np.array(ids, np.int64))).hexdigest())
+                ids_hex.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+                bytes_hex.append(hashlib.sha256(c.decode(ids.astype(np.int64))).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(f.name)) for f in keep), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(bytes_hex, pa.string())], names=[*(f.name for f in keep), *(f.name for f in fields)])
 
     return df.mapInArrow(batches, T.StructType([*keep, *fields]))
