@@ -1,9 +1,9 @@
 """Toxicity: a character n-gram linear classifier on naive Bayes log-count ratios.
 
-Features are the distinct byte n-grams (3 to 6) of the lowered text, hashed into ``buckets``. Each
-bucket gets the log ratio of its smoothed document rates in toxic and clean training rows; a
-logistic regression is then fitted on the rows' features scaled by those ratios, with a length
-norm of 1 / sqrt(distinct features).
+Features are the counts of the byte n-grams (3 to 6; a letter beyond ASCII has two bytes or more) of the lowered
+text, hashed into ``buckets``, over the square root of the number of its n-grams. Each bucket has the log ratio of its
+smoothed shares of all n-grams of the toxic and of the clean training rows; those in under 3 rows, or with a ratio
+under 1 either way, are left out. A logistic regression is then fitted on the features scaled by the ratios.
 
 The model is fitted on a sample of labelled training rows that is bounded by ``max_rows`` and
 ``max_bytes`` (the rows with the smallest hash of their id). Scoring is one Arrow pass over all
@@ -44,27 +44,18 @@ def _ngrams(text: np.ndarray, bits: int) -> Iterator[np.ndarray]:
                 if len(own) > seen:
                     packed = (packed[: len(own) - seen] << np.uint64(8)) | own[seen:]
                 seen += 1
+            # The first places of a later piece repeat the end of the one before.
+            own_n = packed[SIZES[-1] - n if i else 0 :]
             if len(own) >= n:
-                yield ((packed + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+                yield ((own_n + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-class _Distinct:
-    """The distinct buckets of one text after another, with one scratch array."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits, self.last = bits, np.zeros(1 << bits, np.int32)
-
-    def __call__(self, text: np.ndarray) -> np.ndarray:
-        found: list[np.ndarray] = []
-        for own in _ngrams(text, self.bits):
-            own = own[self.last[own] == 0]
-            self.last[own] = np.arange(1, len(own) + 1)
-            own = own[self.last[own] == np.arange(1, len(own) + 1)]
-            self.last[own] = 1
-            found.append(own)
-        out = np.concatenate(found) if found else np.zeros(0, np.int64)
-        self.last[out] = 0
-        return out
+def _counts(text: np.ndarray, bits: int) -> np.ndarray:
+    """How often each bucket occurs."""
+    out = np.zeros(1 << bits, np.int64)
+    for own in _ngrams(text, bits):
+        out += np.bincount(own, minlength=1 << bits)
+    return out
 
 
 @dataclass(frozen=True)
@@ -73,9 +64,12 @@ class ToxicityModel:
     bias: float
     bits: int
 
-    def score(self, text: np.ndarray, distinct: _Distinct) -> float:
-        own = distinct(text)
-        z = self.bias + (float(self.weights[own].sum()) / max(1.0, len(own)) ** 0.5 if len(own) else 0.0)
+    def score(self, text: np.ndarray) -> float:
+        total, n = 0.0, 0
+        for own in _ngrams(text, self.bits):
+            total += float(self.weights[own].sum(dtype=np.float64))
+            n += len(own)
+        z = self.bias + total / max(1, n) ** 0.5
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
@@ -86,26 +80,26 @@ def fit(texts: list[str | None], labels: list[int], bits: int = 18, alpha: float
     prior = float(np.log(rate / (1 - rate)))
     if len(set(labels)) < 2:
         return ToxicityModel(np.zeros(1 << bits, np.float32), prior, bits)
-    distinct = _Distinct(bits)
-    sizes = np.zeros(len(y), np.int64)
-    hits = np.zeros((2, 1 << bits), np.int32)
-    rows = []
-    for i, t in enumerate(texts):
-        own = distinct(np.frombuffer((t or "").encode(), np.uint8)).astype(np.int32)
-        sizes[i] = len(own)
-        hits[int(y[i]), own] += 1
-        rows.append(own)
-    rates = [(h + alpha) / ((y == c).sum() + 2 * alpha) for c, h in enumerate(hits)]
-    ratio = np.log(rates[1] / rates[0])
+    raw = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
+    hits, held, sizes = np.zeros((2, 1 << bits)), np.zeros(1 << bits, np.int32), np.zeros(len(y))
+    for i, t in enumerate(raw):
+        own = _counts(t, bits)
+        hits[int(y[i])] += own
+        held += own > 0
+        sizes[i] = own.sum()
+    shares = [(h + alpha) / (h.sum() + alpha * len(h)) for h in hits]
+    ratio = np.log(shares[1] / shares[0])
     # Rare and neutral features count as ratio 0, and so leave every product.
-    ratio[(hits.sum(0) < 3) | (np.abs(ratio) < 0.5)] = 0
-    for i, own in enumerate(rows):
-        rows[i] = own[ratio[own] != 0]
-    norm = 1 / np.sqrt(np.maximum(sizes, 1))
+    ratio[(held < 3) | (np.abs(ratio) < 1)] = 0
+    rows, values = [], []
+    for i, t in enumerate(raw):  # counted anew: all counts of all rows would be much
+        own = _counts(t, bits)
+        at = np.flatnonzero((own > 0) & (ratio != 0))
+        rows.append(at.astype(np.int32))
+        values.append((own[at] * ratio[at] / max(1.0, sizes[i]) ** 0.5).astype(np.float32))
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    flat = np.concatenate(rows)
-    del rows
-    value = (ratio[flat] * norm[row]).astype(np.float32)
+    flat, value = np.concatenate(rows), np.concatenate(values)
+    del rows, values
     balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     w, b, mw, vw, mb, vb = np.zeros(1 << bits), 0.0, np.zeros(1 << bits), np.zeros(1 << bits), 0.0, 0.0
     for step in range(1, steps + 1):  # Adam over the whole sample
@@ -161,10 +155,9 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        distinct = _Distinct(m.bits)
         for batch in batches:
             raw, at = text_bytes(batch.column(names.index(text_col)))
-            out = [m.score(raw[at[i] : at[i + 1]], distinct) for i in range(len(at) - 1)]
+            out = [m.score(raw[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out, pa.float64())], names=[*(names[i] for i in kept), out_col])
 
     return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, StructType([*(fields[i] for i in kept), StructField(out_col, DoubleType())]))
@@ -177,10 +170,9 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        distinct = _Distinct(m.bits)
         for batch in batches:
             raw, at = text_bytes(batch.column(names.index(text_col)))
-            yield batch.filter(pa.array([m.score(raw[at[i] : at[i + 1]], distinct) < threshold for i in range(len(at) - 1)], pa.bool_()))
+            yield batch.filter(pa.array([m.score(raw[at[i] : at[i + 1]]) < threshold for i in range(len(at) - 1)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -264,5 +264,63 @@ def test_toxicity(spark, odd, none):
     assert all(0 <= r["toxicity"] <= 1 for r in scored.collect())
     assert tx.score(none, model).count() == 0 and tx.keep_clean(odd, model).columns == odd.columns
     # No labels, or one class only: every score is the smoothed rate.
-    assert tx.train(df, df.limit(0).select("doc_id", "toxic")).score(__import__("numpy").zeros(0, "uint8"), tx._Distinct(18)) == 0.5
+    assert tx.train(df, df.limit(0).select("doc_id", "toxic")).score(__import__("numpy").zeros(0, "uint8")) == 0.5
     assert tx.fit(["a", "b"], [1, 1]).bias > 0
+
+
+def test_toxicity_counts_and_scores_by_hand():
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    from millrace.llm import toxicity as tx
+
+    rng = random.Random(3)
+    for text in ["", "a", "Ab\tC", "".join(rng.choice("aB é\n") for _ in range(tx._PIECE + 5000))]:
+        raw = text.encode()
+        padded = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in b" " + raw + b" ") if raw else b""
+        grams = Counter(padded[i : i + n] for n in tx.SIZES for i in range(len(padded) - n + 1))
+
+        def bucket(gram: bytes) -> int:
+            packed = int.from_bytes(gram, "big") + (len(gram) << 56)
+            return (packed * 0x9E3779B97F4A7C15 % (1 << 64)) >> 46
+
+        want = np.zeros(1 << 18, np.int64)
+        for gram, k in grams.items():
+            want[bucket(gram)] += k
+        got = tx._counts(np.frombuffer(raw, np.uint8), 18)
+        assert (got == want).all()
+        model = tx.ToxicityModel(np.linspace(-1, 1, 1 << 18).astype(np.float32), 0.25, 18)
+        z = 0.25 + sum(k * float(model.weights[bucket(g)]) for g, k in grams.items()) / max(1, grams.total()) ** 0.5
+        assert abs(model.score(np.frombuffer(raw, np.uint8)) - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_toxicity_on_rows_held_out(spark):
+    from millrace.llm import toxicity as tx
+
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    rows = tx.op10_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").collect()
+    caught = [r["predicted"] for r in rows if r["toxic"] == 1]
+    alarms = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert len(caught) > 50 and sum(caught) >= 0.9 * len(caught)
+    assert sum(alarms) <= 0.02 * len(alarms)
+
+
+def test_bpe_words_are_forgotten_and_learned_anew(tiktoken_encoding, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from millrace.llm import byte_bpe
+
+    rng = random.Random(5)
+    signs = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", "　", "a", "b", "é", "1", "'", "'s", ".", "#", "字", "👍", "́", "\x00", "the"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(25))) for _ in range(4000)] + [None, "", " ", "a ", " a", "x" * 70 + " y", "q " + "z" * 100 + " r"]
+    monkeypatch.setattr(byte_bpe, "_REMEMBERED", 300)
+    monkeypatch.setattr(byte_bpe, "_WORDS_GROUP", 5000)
+    codec = byte_bpe.Codec(PATH, PATTERN)
+    for text, ids in zip(texts, codec.arrays(texts), strict=True):
+        assert ids.tolist() == tiktoken_encoding.encode_ordinary(text or "")
+        assert codec.decode(ids.astype(np.int64)) == (text or "").encode()
+    assert len(codec.slots) < 3000
