@@ -220,11 +220,14 @@ _LONGS = 32
 
 
 def _bitmaps(lines: DataFrame) -> DataFrame:
-    """``at`` and ``m``, an array of ``_LONGS`` longs with a bit for the hash of every three adjacent characters."""
+    """``at`` and ``m``, an array of ``_LONGS`` longs whose bits tell if an odd number of all triples of adjacent characters hash to them.
+
+    Unlike bits that are set, those that are turned over keep telling lines apart however long these are.
+    """
     rows = lines.select("at", "n", F.encode("line", "UTF-32").alias("wide")).select("at", "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 3)).alias("i"))
     rows = rows.select("at", F.pmod(F.xxhash64(F.substr("wide", 4 * F.col("i") + 1, F.lit(12))), F.lit(64 * _LONGS)).cast("int").alias("x"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x") % 64)
-    slots = [F.bit_or(F.when((F.col("x") / 64).cast("int") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(_LONGS)]
+    slots = [F.bit_xor(F.when((F.col("x") / 64).cast("int") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(_LONGS)]
     return rows.groupBy("at").agg(*slots).select("at", F.array(*[f"m{k}" for k in range(_LONGS)]).alias("m"))
 
 
@@ -255,7 +258,7 @@ def _rare_links(lines: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFra
     # A longer line has one of t + 1 lengths, so lines meet by chunk and length.
     left = index.join(maps.withColumnRenamed("at", "s_at"), "s_at").select("key", "s_at", F.col("label").alias("s_label"), "t", F.explode(F.sequence("n", F.col("n") + F.col("t"))).alias("n"), *[F.col("m")[k].alias(f"s{k}") for k in range(_LONGS)])
     right = probes.join(maps.withColumnRenamed("at", "l_at"), "l_at").select("key", "l_at", F.col("label").alias("l_label"), "n", *[F.col("m")[k].alias(f"l{k}") for k in range(_LONGS)])
-    # An edit takes away three triples and adds three at most.
+    # An edit takes away three triples and adds three at most, and each turns one bit over.
     differ = reduce(Column.__add__, [F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"l{k}"))) for k in range(_LONGS)])
     on = [F.col("x.key") == F.col("y.key"), F.col("x.n") == F.col("y.n"), differ <= 6 * F.col("x.t"), F.col("s_label") != F.col("l_label")]
     pairs = left.alias("x").join(right.alias("y"), reduce(Column.__and__, on))
