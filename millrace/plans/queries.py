@@ -411,11 +411,24 @@ def paired_ttest(spark, d):
     return spark.createDataFrame([tuple(r.values())], "t_statistic double, p_value double, reject_null boolean, baseline_mean double, baseline_std double, alternative_mean double, alternative_std double, ci_lower double, ci_upper double")
 
 
+#: Rows for one task of a fit. Trees start thousands of short tasks; for fewer rows, starting a task takes longer than its work.
+ROWS_A_TASK = 20_000
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: what follows doesn't carry the plan that made them."""
+    folder = scratch_path(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _matrix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Training and validation rows of the fixed split as vectors, kept in memory: fits read them often."""
-    df = _features(spark, d)
+    """Training and validation rows of the fixed split as vectors, stored: fits read them often, and each task of a fit
+    carries the plan of its rows. The panel is stored too, as levels and features both read it."""
+    df = ft.feature_set(_stored(_panel(spark, d), "panel"), None, SETTINGS)
     names = ft.model_features(df)
-    rows = fc.assemble(sp.fixed_split(df, *SETTINGS["split"]), names, "quantity", [*KEY, "date", "split"]).cache()
+    rows = _stored(fc.assemble(sp.fixed_split(df, *SETTINGS["split"]), names, "quantity", [*KEY, "date", "split"]), "matrix")
+    rows = rows.coalesce(max(1, -(-rows.count() // ROWS_A_TASK)))
     return rows.where("split = 'train'"), rows.where("split = 'validation'"), names
 
 

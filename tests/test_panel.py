@@ -253,6 +253,27 @@ def test_queries_fit_the_whole_job(spark, monkeypatch):
     assert trees == [100, 100]
 
 
+def test_fits_read_a_stored_matrix(spark, monkeypatch):
+    """Tasks of a fit carry neither windows nor a cached plan, few rows are few tasks, and all rows are there."""
+    from millrace.plans import queries as q
+
+    keys = spark.createDataFrame([("a", "Brand#11", "N"), ("b", "Brand#12", "Y")], "subcategory string, sizing string, tactical string")
+    months = spark.sql("select explode(sequence(date'1995-01-01', date'2001-12-01', interval 1 month)) as date")
+    n = F.month("date") + F.length("sizing") * F.year("date")
+    panel = keys.crossJoin(months).select(*q.KEY, "date", n.cast("long").alias("quantity"), (n * 2.0).alias("amount"), F.lit(3.0).alias("barrel_length"), F.lit(1).cast("long").alias("transaction_count"), (n / 7).alias("avg_price"))
+    monkeypatch.setattr(q, "_panel", lambda *_: panel)
+    train, val, names = q._matrix(spark, "")
+    for df, rows in ((train, 2 * 48), (val, 2 * 12)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" in plan and "Window" not in plan and "InMemoryTableScan" not in plan and df.rdd.getNumPartitions() == 1
+        assert df.count() == rows
+    direct = q.ft.feature_set(panel, None, q.SETTINGS)
+    assert names == q.ft.model_features(direct)
+    want = fc.assemble(q.sp.fixed_split(direct, *q.SETTINGS["split"]), names, "quantity", [*q.KEY, "date", "split"])
+    order = [*q.KEY, "date"]
+    assert train.unionByName(val).orderBy(*order).collect() == want.where("split <> 'test'").orderBy(*order).collect()
+
+
 def test_sarima(spark):
     y = np.array([10 + 5 * math.sin(m * math.pi / 6) + 0.2 * m for m in range(60)])
     assert np.abs(fc.sarima_forecast(y[:57], 3) - y[57:]).max() < 1
