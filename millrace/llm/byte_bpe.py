@@ -6,9 +6,9 @@ tokens is a merge, in the order of the token's rank, which is the order in which
 join when the lowest rank joins first.
 
 For the usual pattern, texts are cut before each space between two visible characters, which never parts
-a match. Each distinct word of a group of texts goes to the library once, many words in one call, and a worker
-remembers the ids of up to ``_REMEMBERED`` words; a text's ids are gathered from its words'. Offsets, and
-other patterns, take whole texts.
+a match. Each distinct word of a group of texts goes to the library once, many words in one call, and a task
+remembers the ids of up to ``_REMEMBERED`` words; a text's ids are gathered from its words'. At its end they are
+dropped and the memory goes back to the system. Offsets, and other patterns, take whole texts.
 
 Bytes stand for characters inside the library; decoding goes through the reverse table to bytes
 first, so a character whose bytes are split over tokens comes back whole.
@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .idle import lean
+
 #: The library holds about 200 bytes for a token, so texts go to it in groups of this many characters.
 _GROUP = 1 << 18
-#: Texts are cut into words in groups of this many characters.
-_WORDS_GROUP = 1 << 22
-#: A worker remembers the ids of this many words of up to this many characters; beyond it, it starts anew.
+#: Texts are cut into words in groups of this many characters, and batches into parts of as many bytes of text.
+_WORDS_GROUP = 1 << 20
+#: A task remembers the ids of this many words of up to this many characters; beyond it, it starts anew.
 _REMEMBERED, _LONGEST = 600_000, 64
 #: Fixed: the pattern for which words are known to be whole matches; for others, texts go whole.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,7 +66,7 @@ class Codec:
         merges = []
         for t in sorted(ranks, key=ranks.__getitem__):
             merges += [(name[t[:i]], name[t[i:]]) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.tokenizer = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=100_000))
+        self.tokenizer = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=10_000))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         back = {c: b for b, c in enumerate(chars)}
         vocab = self.tokenizer.get_vocab()
@@ -75,10 +77,11 @@ class Codec:
         self.at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
         self.known = np.array([bool(t) for t in tokens])
         self.decimal = [str(i) for i in range(len(tokens))]
-        self._forget()
+        self.forget()
         self.by_word = pattern == _PATTERN
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the remembered words."""
         self.slots: dict[str, int] = {}  # by word
         self.kept = np.zeros(0, np.int32)  # ids of the words with a space before them, one after another
         self.ends = np.zeros(0, np.int64)  # of each word in ``kept``
@@ -122,7 +125,7 @@ class Codec:
     def _by_word(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids by way of the ids of each text's words, each but the first with the space before it."""
         if len(self.slots) > _REMEMBERED:
-            self._forget()
+            self.forget()
         close = [t[:1] == " " or _CLOSE.search(t) is not None for t in texts]
         plain = pc.split_pattern(pa.array([t for t, c in zip(texts, close, strict=True) if not c], pa.large_string()), " ")
         other = pa.array([_APART.split(t) for t, c in zip(texts, close, strict=True) if c], plain.type)
@@ -183,18 +186,42 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _map(df: DataFrame, fields: list[T.StructField], of: str, run) -> DataFrame:
-    """``df`` with new columns that ``run`` makes from the column ``of`` of each batch."""
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of batches in their order, in batches of about ``_WORDS_GROUP`` bytes of text at most, one row at least."""
+    for b in batches:
+        ends, i = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(), dtype=np.int64), 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _WORDS_GROUP, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
+def _coded(batches: Iterator[pa.RecordBatch], column: int, path: str, pattern: str) -> Iterator[tuple[Codec, pa.RecordBatch, list[str | None], list[np.ndarray]]]:
+    """(codec, part of a batch, its texts, their ids); after the last, the words that the worker remembers are dropped."""
+    c = codec(path, pattern)
+    try:
+        for b in _parts(batches, column):
+            texts = b.column(column).to_pylist()
+            yield c, b, texts, list(c.arrays(texts))
+    finally:
+        c.forget()
+
+
+def _map(df: DataFrame, fields: list[T.StructField], of: str, run, end=lambda: None) -> DataFrame:
+    """``df`` with new columns that ``run`` makes from the column ``of`` of each batch; ``end`` is called after the last."""
     new = {f.name for f in fields}
     old = [f for f in df.schema.fields if f.name not in new]
     names = [f.name for f in df.schema.fields]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            made = run(b.column(names.index(of)))
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(f.name)) for f in old), *made], names=[*(f.name for f in old), *(f.name for f in fields)])
+        try:
+            for b in it:
+                made = run(b.column(names.index(of)))
+                yield pa.RecordBatch.from_arrays([*(b.column(names.index(f.name)) for f in old), *made], names=[*(f.name for f in old), *(f.name for f in fields)])
+        finally:
+            end()
 
-    return df.mapInArrow(batches, T.StructType([*old, *fields]))
+    return df.mapInArrow(lean(batches), T.StructType([*old, *fields]))
 
 
 def encode(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
@@ -223,7 +250,7 @@ def encode(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", of
             out.append(pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], kind))
         return out
 
-    return _map(df, fields + [T.StructField("token_spans", span)] * offsets, text_col, run)
+    return _map(df, fields + [T.StructField("token_spans", span)] * offsets, text_col, run, lambda: codec(path, pattern).forget())
 
 
 def decode(df: DataFrame, *, path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
@@ -248,16 +275,13 @@ def encode_checked(df: DataFrame, *, path: str, pattern: str, text_col: str = "t
     names = [f.name for f in df.schema.fields]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for b in it:
-            texts = b.column(names.index(text_col)).to_pylist()
-            ids = list(c.arrays(texts))
+        for c, b, texts, ids in _coded(it, names.index(text_col), path, pattern):
             same = [c.decode(x.astype(np.int64)) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]
             sizes = [len(x) for x in ids]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(f.name)) for f in keep), lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], names=[*(f.name for f in keep), *(f.name for f in fields)])
 
-    return df.mapInArrow(batches, T.StructType([*keep, *fields]))
+    return df.mapInArrow(lean(batches), T.StructType([*keep, *fields]))
 
 
 def digests(df: DataFrame, *, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -268,16 +292,15 @@ def digests(df: DataFrame, *, path: str, pattern: str, text_col: str = "text") -
     names = [f.name for f in df.schema.fields]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for b in it:
+        for c, b, _, every in _coded(it, names.index(text_col), path, pattern):
             n, ids_hex, bytes_hex = [], [], []
-            for ids in c.arrays(b.column(names.index(text_col)).to_pylist()):
+            for ids in every:
                 n.append(len(ids))
                 ids_hex.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                 bytes_hex.append(hashlib.sha256(c.decode(ids.astype(np.int64))).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(f.name)) for f in keep), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(bytes_hex, pa.string())], names=[*(f.name for f in keep), *(f.name for f in fields)])
 
-    return df.mapInArrow(batches, T.StructType([*keep, *fields]))
+    return df.mapInArrow(lean(batches), T.StructType([*keep, *fields]))
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:

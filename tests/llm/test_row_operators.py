@@ -324,3 +324,31 @@ def test_bpe_words_are_forgotten_and_learned_anew(tiktoken_encoding, monkeypatch
         assert ids.tolist() == tiktoken_encoding.encode_ordinary(text or "")
         assert codec.decode(ids.astype(np.int64)) == (text or "").encode()
     assert len(codec.slots) < 3000
+
+
+def test_bpe_leaves_no_words_in_the_worker(monkeypatch, tiktoken_encoding):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from millrace.llm import byte_bpe
+
+    class Rows:
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    texts = fuzz(400, 9) + [None, "", "the " * 3000]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(texts[a:b], pa.string())], names=["doc_id", "text"]) for a, b in ((0, 0), (0, 250), (250, len(texts)))]
+    monkeypatch.setattr(byte_bpe, "_WORDS_GROUP", 5000)
+    back = []
+    monkeypatch.setattr("millrace.llm.idle.give_back", lambda: back.append(1))
+    for f in (byte_bpe.encode_checked, byte_bpe.digests, byte_bpe.encode):
+        made = [r for b in f(Rows(), path=PATH, pattern=PATTERN).run(iter(batches)) for r in b.to_pylist()]
+        assert [r["doc_id"] for r in made] == list(range(len(texts)))
+        assert [r["n_tokens"] for r in made] == [len(tiktoken_encoding.encode_ordinary(t or "")) for t in texts]
+        assert not byte_bpe.codec(PATH, PATTERN).slots and not len(byte_bpe.codec(PATH, PATTERN).kept)
+    assert len(back) == 3
+    sizes = [sum(len((texts[i] or "").encode()) for i in b.column("doc_id").to_pylist()) for b in byte_bpe.encode_checked(Rows(), path=PATH, pattern=PATTERN).run(iter(batches))]
+    assert sizes[-1] == 12_000 and max(sizes[:-1]) <= 5000
